@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from candlewick.llm import quality_rules
+from candlewick.llm import packing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
