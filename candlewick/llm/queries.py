@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from candlewick.llm import packing, quality_rules
+from candlewick.llm import decontam, packing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_winnowing": decontam.op6_winnowing,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op6_winnowing": decontam.ORACLE,
 }
