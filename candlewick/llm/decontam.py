@@ -15,7 +15,6 @@ as often as they come, an id once in a document's list. Either table may be empt
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 

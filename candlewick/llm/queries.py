@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from candlewick.llm import decontam, packing, quality_rules
+from candlewick.llm import decontam, packing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_digest_array": url_filter.op3_digest_array,
+    "op4_anchor_expansion": pii.op4_anchor_expansion,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_winnowing": decontam.op6_winnowing,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op3_digest_array": url_filter.ORACLE,
     "op6_winnowing": decontam.ORACLE,
 }
