@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import decontam, packing, pii, quality_rules, toxicity, url_filter
+from candlewick.llm import decontam, jaccard_join, packing, pii, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_anchor_expansion": pii.op4_anchor_expansion,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_winnowing": decontam.op6_winnowing,
+    "op7_token_group": jaccard_join.op7_token_group,
     "op10_ftrl": toxicity.op10_ftrl,
 }
 ORACLES = {

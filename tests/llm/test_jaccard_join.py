@@ -1,0 +1,81 @@
+import random
+
+import numpy as np
+import pytest
+
+from candlewick.llm import jaccard_join as j
+from candlewick.llm._shared import alnum_words
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2)])
+def test_linked_sets_share_a_signature(num, den):
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        size = int(rng.integers(1, 400))
+        a = rng.integers(0, 2**63, size, dtype=np.uint64)
+        b = np.concatenate([a[rng.random(size) > rng.random() * 0.3], rng.integers(0, 2**63, int(rng.integers(0, 1 + size // 8)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        inter = len(np.intersect1d(a, b))
+        if den * inter >= num * (len(a) + len(b) - inter) and not np.array_equal(a, b):
+            assert np.isin(j.signatures(a, num, den), j.signatures(b, num, den)).any(), (len(a), len(b), inter)
+
+
+def brute(texts, n, num, den, split=None):
+    import re
+
+    split = split or (lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    sets = {}
+    for k, t in texts.items():
+        w = split(t or "")
+        sets[k] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(texts)
+    for x, a in enumerate(keys):
+        for b in keys[x + 1 :]:
+            i = len(sets[a] & sets[b])
+            if i and den * i >= num * (len(sets[a]) + len(sets[b]) - i):
+                ra, rb = sorted((find(a), find(b)))
+                root[rb] = ra
+    return {k: (len(sets[k]), find(k)) for k in keys}
+
+
+def corpus():
+    random.seed(3)
+    words = [f"w{k}" for k in range(60)]
+    texts, k = {}, 0
+    for _ in range(12):
+        base = [random.choice(words) for _ in range(random.choice([5, 14, 40, 120]))]
+        for _ in range(random.choice([1, 3, 120])):
+            copy = list(base)
+            for _ in range(random.choice([0, 0, 1, 1, 2, 5])):
+                copy[random.randrange(len(copy))] = random.choice(words)
+            texts[k] = " ".join(copy)
+            k += 1
+    texts |= {k: None, k + 1: "", k + 2: "one two", k + 3: "ONE two", k + 4: "one", k + 5: " \n"}
+    return texts
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_classes_equal_brute_force(spark, monkeypatch, n, num, den):
+    monkeypatch.setattr(j, "GROUP", 8)
+    texts = corpus()
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, node string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.classes(df, j.Measure(n, num, den)).collect()}
+    assert got == brute(texts, n, num, den)
+
+
+def test_repeated_rows_and_empty_table(spark):
+    df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (7, None)], "doc_id long, text string")
+    got = sorted(map(tuple, j.classes(df, j.Measure(3, 90, 100)).collect()), key=str)
+    assert got == sorted([(5, 3, 3), (5, 3, 3), (3, 3, 3), (None, 3, 3), (7, 0, 7)], key=str)
+    assert j.classes(df.limit(0), j.Measure(3, 90, 100)).count() == 0
+
+
+def test_pipeline_measure_takes_letters_and_digits():
+    assert len(j.Measure(5, 80, 100, alnum_words).tokens("a, b! c; d: e f")) == 2
