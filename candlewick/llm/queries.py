@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewick.llm import decontam, jaccard_join, line_dedup, packing, pii, quality_rules, toxicity, url_filter
+from candlewick.llm import decontam, jaccard_join, license_scan, line_dedup, packing, pii, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_winnowing": decontam.op6_winnowing,
     "op7_token_group": jaccard_join.op7_token_group,
     "op8_line_hashing": line_dedup.op8_line_hashing,
+    "op9_diagonal_voting": license_scan.op9_diagonal_voting,
     "op10_ftrl": toxicity.op10_ftrl,
 }
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op3_digest_array": url_filter.ORACLE,
     "op6_winnowing": decontam.ORACLE,
     "op8_line_hashing": line_dedup.ORACLE,
+    "op9_diagonal_voting": license_scan.ORACLE,
 }
