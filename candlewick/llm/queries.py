@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from candlewick.llm import decontam, jaccard_join, license_scan, line_dedup, packing, pii, quality_rules, toxicity, url_filter
+from candlewick.llm import chat_format, decontam, jaccard_join, license_scan, line_dedup, packing, pii, quality_rules, toxicity, url_filter
 
 QUERIES = {
+    "op1_viterbi": chat_format.op1_viterbi,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_digest_array": url_filter.op3_digest_array,
     "op4_anchor_expansion": pii.op4_anchor_expansion,
