@@ -45,7 +45,7 @@ def segments(text: str | None) -> list[tuple[int, str]]:
     text = text or ""
     found = [m for m in _MARKER.finditer(text)]
     cuts = [m.start() for m in found]
-    out = [(-1, text[: cuts[0]])] if found and text[: cuts[0]].strip() else [] if found else [(-1, text)]
+    out = [(-1, text[: cuts[0]].strip("\n"))] if found and text[: cuts[0]].strip() else [] if found else [(-1, text)]
     for m, end in zip(found, [*cuts[1:], len(text)]):
         out.append((MARKERS[m[1].lower()], text[m.end() : end].strip("\n")))
     return out

@@ -337,6 +337,19 @@ def op7_token_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), Measure(3, 90, 100))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The classes of near-duplicates by word n-grams of letters and digits."""
-    return classes(docs, Measure(n, num, den, alnum_words))
+def one_of_each(docs: DataFrame, measure: Measure) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class: that of the least doc_id.
+
+    Where ids repeat or are null, rows are numbered, and the first row of a class stays.
+    """
+    key = "__class_key"
+    unique = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
+    if unique:
+        keyed = docs.withColumn(key, F.col("doc_id"))
+    else:
+        keyed = Scratch(docs.sparkSession, "jaccard-rows").keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
+    found = classes(keyed.select(F.col(key).alias("doc_id"), "text"), measure)
+    gone = Scratch(docs.sparkSession, "jaccard-gone").keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)

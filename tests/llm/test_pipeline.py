@@ -1,0 +1,80 @@
+import random
+import re
+
+import pytest
+
+from candlewick.llm import jaccard_join
+from candlewick.llm._shared import alnum_words
+
+
+def words(text):
+    return alnum_words(text)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("tables"))
+    random.seed(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    prose = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    benchmark = [(k, " ".join(prose(30))) for k in range(4)]
+    docs, toxic = [], {}
+    for k in range(400):
+        text = prose(random.randint(5, 60))
+        toxic[k] = int(k % 4 == 0)
+        if toxic[k]:
+            for _ in range(3):
+                text.insert(random.randrange(len(text)), random.choice(["slur", "filth"]))
+        docs.append((k, " ".join(text)))
+    base = prose(100)
+    docs += [(1000 + k, " ".join(base[:k] + ["changed"] + base[k + 1 :])) for k in range(20)]
+    docs += [(2000, " ".join(prose(9)) + " " + benchmark[1][1][20:110] + " tail"), (2001, "Mail a.b@c.example, call +1 614 555 8001 " + " ".join(prose(12))), (2002, None), (2003, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(k, 1, y) for k, y in toxic.items() if k % 8 != 7], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at, dict(docs), toxic, benchmark
+
+
+def test_each_stage_by_brute_force(spark, tables):
+    import corpus_pipeline as cp
+
+    at, docs, toxic, benchmark = tables
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    columns = df.columns
+
+    kept = cp.drop_toxic(spark, df, at).cache()
+    assert kept.columns == columns
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert left == {k: t for k, t in docs.items() if not re.search("slur|filth", t or "")}
+
+    one = cp.keep_one_of_each(spark, kept, at)
+    assert one.columns == columns
+    shingles = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
+    base = shingles(docs[1000])
+    assert all(len(base & shingles(docs[k])) * 100 >= 80 * len(base | shingles(docs[k])) for k in range(1001, 1020))
+    left = {k: t for k, t in left.items() if not 1000 < k < 2000}
+    assert {r.doc_id: r.text for r in one.collect()} == left
+
+    def windows(t, n=10):
+        return {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
+
+    clean = cp.drop_contaminated(spark, one, at)
+    known = set().union(*(windows(t) for _, t in benchmark))
+    left = {k: t for k, t in left.items() if not windows(t) & known}
+    assert 2000 not in left and {r.doc_id: r.text for r in clean.collect()} == left
+
+    masked = cp.mask_personal(spark, clean, at)
+    got = {r.doc_id: r for r in masked.collect()}
+    assert masked.columns == columns and got.keys() == left.keys()
+    assert got[2001].text.startswith("Mail [EMAIL], call [PHONE] w") and got[2001].n_chars == len(got[2001].text)
+    assert all(got[k].text == t for k, t in left.items() if k != 2001)
+
+    packed = cp.run(spark, at).collect()
+    assert {r.doc_id for r in packed} == left.keys()
+
+
+def test_one_of_each_where_ids_repeat(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(1, text, 1), (1, text, 2), (None, text, 3), (2, "other", 4), (2, None, 5)], "doc_id long, text string, n_chars int")
+    kept = jaccard_join.one_of_each(df, jaccard_join.Measure(5, 80, 100)).collect()
+    assert sorted(r.n_chars for r in kept if r.n_chars > 3) == [4, 5] and len(kept) == 3
