@@ -14,7 +14,7 @@ each) keep passages that many documents share from making candidates.
 
 Passes: (1) id and node of every document; (2) signatures, packed by reducer, of which those that differing nodes
 share are kept; (3) tokens of these nodes, compared within their groups, which gives components; (4) for signatures
-that still span several components, nodes against the other components' groups by bound, then by node. Links only
+that still span several components, groups dealt anew by component are held against each other: nodes by bound, then by node. Links only
 join components: no group or bucket gives all its pairs, and what is joined already is not compared again.
 
 Defined results: null and empty texts have no tokens and link with nothing; equal texts are one node, however many;
@@ -42,6 +42,8 @@ MOST_BROADCAST = 1_000_000
 #: A level's largest size over its smallest.
 LEVEL = 1.6
 SEEDS = 3
+#: Groups that are held against another at once, and sets that are compared at once.
+ASKING = 8
 QUERIES = 256
 
 _words = HashOf()
@@ -243,22 +245,23 @@ def _within(measure: Measure):
 
 
 def _opened(measure: Measure):
-    """Pass 4: holds nodes against the token union of a group, opens it for those that reach the bound, and links."""
+    """Pass 4: holds nodes against the token union of a group, opens it for those that reach the bound, and links components."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
-        found = []
-        asked = dict(zip(queries.column("node").to_pylist(), _sets(queries.column("tokens"))))
-        inside = dict(zip(members.column("member").to_pylist(), _sets(members.column("own"))))
+        links: set[tuple[bytes, bytes]] = set()
+        asked = {n: (r, t) for n, r, t in zip(queries.column("node").to_pylist(), queries.column("root").to_pylist(), _sets(queries.column("tokens")))}
+        inside = {n: (r, t) for n, r, t in zip(members.column("member").to_pylist(), members.column("of").to_pylist(), _sets(members.column("own")))}
         if asked and inside:
-            union = np.unique(np.concatenate(list(inside.values())))
-            nodes = [x for x, s in asked.items() if measure.den * int((union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s).sum()) >= measure.num * len(s)]
-            if nodes:
-                sets, others = [asked[x] for x in nodes], list(inside.values())
-                sizes = [np.array([len(x) for x in y]) for y in (sets, others)]
-                linked = measure.links(_overlaps(sets, others), sizes[0][:, None], sizes[1][None, :])
-                names = list(inside)
-                found = [(nodes[i], names[j]) for i, j in zip(*np.nonzero(linked)) if nodes[i] != names[j]]
-        return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], schema=LINKS)
+            union = np.unique(np.concatenate([t for _, t in inside.values()]))
+            # a set that links with one in the group has at least the threshold's share of its tokens in the union
+            reached = [(r, t) for r, t in asked.values() if measure.den * int((union[np.minimum(np.searchsorted(union, t), len(union) - 1)] == t).sum()) >= measure.num * len(t)]
+            known = list(inside.values())
+            for start in range(0, len(reached), QUERIES):
+                some = reached[start : start + QUERIES]
+                sizes = [np.array([len(t) for _, t in x]) for x in (some, known)]
+                linked = measure.links(_overlaps([t for _, t in some], [t for _, t in known]), sizes[0][:, None], sizes[1][None, :])
+                links.update((some[i][0], known[j][0]) for i, j in zip(*np.nonzero(linked)) if some[i][0] != known[j][0])
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], schema=LINKS)
 
     return run
 
@@ -268,7 +271,7 @@ def _tokens_of(measure: Measure):
         for batch in batches:
             sets = [measure.tokens(x.as_py()) for x in batch.column(0)]
             right = pa.array([len(x) > 0 and _digest(x) == node for x, node in zip(sets, batch.column(1).to_pylist())])
-            made = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "h", "g1", "g2", "tokens"])
+            made = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "g1", "g2", "tokens"])
             yield made.filter(right)
 
     return run
@@ -295,35 +298,45 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     sizes = leads.groupBy("lead").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     dealt = leads.join(sizes, "lead").select(
         "h",
+        "lead",
         F.expr(f"xxhash64(lead, {_spread('h', 'parts')})").alias("g1"),
         F.expr(f"IF(parts > 1, xxhash64(lead, {_spread('h, 1', 'parts')}, 1), NULL)").alias("g2"),
     )
-    members = scratch.keep(reps.join(dealt, "h").select("node", "h", "rep", "g1", "g2"), "members")
-    fetched = members.select("node", "h", "rep", "g1", "g2")
+    members = scratch.keep(reps.join(dealt, "h").select("node", "h", "rep", "lead", "g1", "g2"), "members")
+    fetched = members.select("node", "rep", "g1", "g2")
     if members.count() <= MOST_BROADCAST:
         fetched = F.broadcast(fetched)
-    texts = docs.join(fetched, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "h", "g1", "g2")
-    sets = scratch.keep(texts.mapInArrow(_tokens_of(measure), "node binary, h long, g1 long, g2 long, tokens binary"), "sets")
+    texts = docs.join(fetched, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "g1", "g2")
+    sets = scratch.keep(texts.mapInArrow(_tokens_of(measure), "node binary, g1 long, g2 long, tokens binary"), "sets")
 
     grouped = sets.select(F.explode(F.expr("filter(array(g1, g2), x -> x IS NOT NULL)")).alias("g"), "node", "tokens")
     within = components(grouped.groupBy("g").applyInArrow(_within(measure), "a binary, b binary"), scratch, "within")
 
-    labelled = members.join(within, "node", "left").select("node", "h", "g1", F.coalesce("root", "node").alias("root"))
-    rows = scratch.keep(shared.select("sig", "h").join(labelled, "h"), "rows")
-    several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    rows = rows.join(several, "sig")
-    groups = rows.select("sig", "g1", F.col("root").alias("other")).distinct()
-    asked = scratch.keep(rows.select("sig", "node", "root").join(groups, "sig").where("root > other").select("node", "g1").distinct(), "asked")
+    # groups anew: large components by themselves, small ones whole, so that a group spans few components
+    labelled = members.join(within, "node", "left").select("node", "h", "lead", F.coalesce("root", "node").alias("root"))
+    counts = labelled.groupBy("lead", "root").agg(F.count("*").alias("n"))
+    small = counts.where(f"n < {GROUP}").groupBy("lead").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
+    placed = counts.join(small, "lead", "left").selectExpr("lead", "root", f"IF(n < {GROUP}, NULL, ceil(n / {GROUP})) AS own", "coalesce(parts, 1) AS parts")
+    group = f"IF(own IS NULL, xxhash64(lead, {_spread('root', 'parts')}), xxhash64(lead, root, {_spread('h', 'own')}))"
+    regrouped = scratch.keep(labelled.join(placed, ["lead", "root"]).select("node", "h", "root", F.expr(group).alias("g")), "regrouped")
+
+    # the components that a signature has in a group, and pairs of groups between which they differ
+    spans = scratch.keep(shared.select("sig", "h").join(regrouped, "h").groupBy("sig", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spans")
+    several = spans.groupBy("sig").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l <> u").select("sig")
+    spans = spans.join(several, "sig")
+    others = spans.select("sig", F.col("g").alias("to"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    asked = scratch.keep(spans.join(others, "sig").where("g <= to AND (lo <> lo2 OR hi <> hi2 OR lo <> hi)").select("g", "to").distinct(), "asked")
     if asked.isEmpty():
         roots = within
     else:
-        blocks = asked.groupBy("g1").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
-        asking = asked.join(blocks, "g1").join(sets.select("node", "tokens"), "node").select("g1", F.expr(_spread("node", "blocks")).alias("block"), "node", "tokens")
+        tokens = scratch.keep(sets.select("node", "tokens").join(regrouped.select("node", "root", "g"), "node"), "tokens")
+        blocks = asked.groupBy("to").agg(F.ceil(F.count("*") / ASKING).alias("blocks"))
+        asking = asked.join(blocks, "to").withColumn("block", F.expr(_spread("g", "blocks"))).join(tokens, "g").select("to", "block", "node", "root", "tokens")
         # under names of its own, as both sides come from the same tables
-        opened = sets.join(blocks, "g1").select(
-            F.col("g1").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.col("node").alias("member"), F.col("tokens").alias("own")
+        opened = tokens.join(blocks, F.col("g") == F.col("to")).select(
+            F.col("to").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.col("node").alias("member"), F.col("root").alias("of"), F.col("tokens").alias("own")
         )
-        across = asking.groupBy("g1", "block").cogroup(opened.groupBy("g", "b")).applyInArrow(_opened(measure), "a binary, b binary")
+        across = asking.groupBy("to", "block").cogroup(opened.groupBy("at", "b")).applyInArrow(_opened(measure), "a binary, b binary")
         roots = components(within.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across), scratch, "across")
 
     of = members.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
