@@ -1,47 +1,11 @@
-"""What several operators use: tables, the shared scratch folder, tokenisation into words."""
+"""What several operators use: tables, the shared scratch folder, tokenisation into words, and hashes of words."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            import tempfile
-
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="candlewick-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables that cut lineage: written once to the shared folder, read again from there by whoever needs them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(path := f"{self.at}/{name}")
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+from candlewick.storage import Scratch, scratch_root
+from candlewick.tables import table
 
+__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "HashOf", "Scratch", "alnum_words", "grams", "hashes", "mixed", "scratch_root", "spaced_words", "table"]
 
 #: Bytes that separate words of ASCII letters, digits and anything beyond ASCII; letters become lower case.
 ALNUM_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
