@@ -20,6 +20,8 @@ CHUNK = "pos long, chunk_id long, source_file string, heading string, page_numbe
 VERSION = 1
 #: Questions whose vectors are broadcast together.
 BLOCK = 2048
+#: Results (24 bytes each) that may be broadcast to fetch their chunks; beyond, both sides are shuffled.
+MOST_BROADCAST = 200_000
 
 
 def wanted(top_k: int, available: int) -> int:
@@ -149,7 +151,12 @@ class VectorIndex:
         """query_id, rank, score and the chunk's columns for each of questions (query_id, question); blank ones give none."""
         rows = self._built()
         asked = questions.where("trim(question) <> ''").select("query_id", self.embedder.vector(F.col("question")).alias("vector"))
-        return nearest_many(rows, asked, wanted(top_k, self.count)).join(rows.drop("vector"), "pos")
+        k = wanted(top_k, self.count)
+        found = nearest_many(rows, asked, k)
+        # k rows a question: few enough to go to the chunks, rather than the chunks' texts to them
+        if asked.count() * k <= MOST_BROADCAST:
+            found = F.broadcast(found)
+        return rows.drop("vector").join(found, "pos")
 
     def stats(self) -> DataFrame:
         """One row: chunks, files, and their names in order; zeros before the index is built. Reads no vectors."""
