@@ -1,11 +1,16 @@
 """A corpus pipeline: toxic documents go, one near-duplicate of each class stays, documents with benchmark passages go,
 personal data is masked, and what is left is packed into sequences.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs, further columns of any name with
+their own values. Null texts count as empty: they aren't toxic, resemble nothing, hold no passage, stay null when data
+is masked, and are packed as a separator alone. Rows whose doc_id is null or comes again are documents of their own;
+equal texts among them are copies, of which the first stays. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +21,15 @@ from candlewick.llm._shared import Scratch, alnum_words, table
 NEAR = jaccard_join.Measure(5, 80, 100, alnum_words)
 
 
+def _aside(docs: DataFrame, names: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What stage keeps of docs, with the columns of docs; those by names that the stage takes stand aside meanwhile."""
+    moved = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return stage(docs.withColumnsRenamed(moved)).select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _aside(docs, {"score", "predicted"}, lambda d: toxicity.score(d, model).where("predicted = 0"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +37,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.detect(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_items") == 0).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _aside(docs, {"n_words", "hit_spans", "hit_items"}, lambda d: decontam.detect(d, benchmark).where(F.size("hit_items") == 0))
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     masked = pii.mask(docs)
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return masked.select(*docs.columns)
 
 

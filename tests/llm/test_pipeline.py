@@ -78,3 +78,24 @@ def test_one_of_each_where_ids_repeat(spark):
     df = spark.createDataFrame([(1, text, 1), (1, text, 2), (None, text, 3), (2, "other", 4), (2, None, 5)], "doc_id long, text string, n_chars int")
     kept = jaccard_join.one_of_each(df, jaccard_join.Measure(5, 80, 100)).collect()
     assert sorted(r.n_chars for r in kept if r.n_chars > 3) == [4, 5] and len(kept) == 3
+
+
+def test_stages_on_odd_tables(spark, tables):
+    import corpus_pipeline as cp
+
+    at, _, _, benchmark = tables
+    long = "word salad " * 150_000
+    rows = [(None, None, None, None, None, 1.5, "x"), (1, "", "en", "s", 0, 2.5, None), (1, "", "en", "s", 0, 2.5, None), (2, benchmark[0][1], None, None, None, 3.5, "y"), (3, long, "en", None, len(long), 4.5, "z"), (3, "call +1 614 555 8001", "en", "s", 20, 5.5, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, hit_items string")
+    expected = {"toxicity": 6, "near_duplicates": 6, "decontamination": 5, "personal_data": 5}
+    docs, empty = df, df.limit(0)
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, at).cache()
+        assert docs.columns == df.columns and docs.count() == expected[name]
+        assert sorted(r.score for r in docs.collect()) == sorted(r[5] for r in rows if name in ("toxicity", "near_duplicates") or r[0] != 2)
+        empty = stage(spark, empty, at)
+        assert empty.columns == df.columns and empty.count() == 0
+    assert {(r.doc_id, r.text, r.n_chars) for r in docs.collect() if r.text is None or "call" in r.text} == {(None, None, None), (3, "call [PHONE]", 12)}
+    packed = cp.pack(spark, docs, at)
+    assert packed.where("doc_id = 3").agg({"length": "sum"}).first()[0] > 150_000 and packed.where("doc_id IS NULL").count() == 1
+    assert cp.pack(spark, empty, at).count() == 0
