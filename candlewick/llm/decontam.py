@@ -127,7 +127,7 @@ def detect(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     for k in range(blocks):
         out = out.drop("n_words")
         block = items.where(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {k}")) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in block.toLocalIterator()]))
+        index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in block.collect()]))
         names = [*docs.columns, "hit_spans", "hit_items", "n_words"]
         schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType())])
         out = out.mapInArrow(_pass(index, docs.columns.index(text), len(docs.columns), names), schema)

@@ -7,7 +7,8 @@ have are left out. Per-coordinate rates and L1 leave few weights, which go to th
 SAMPLE_FEATURES / MIN_ROWS entries of 12 bytes, in practice some hundred. Scoring is one pass without a shuffle.
 
 Scores depend on the text alone. Defined results: null and empty texts have the model's bias alone; repeated rows are
-scored one by one; of several labels of an id the largest counts, null labels are left out; with no labelled rows every
+scored one by one; of several labels of an id the largest counts, null labels are left out, and of several texts of an
+id the least is learnt from; with no labelled rows every
 score is 0. Other columns stay (those named score and predicted are replaced).
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm._shared import HashOf, alnum_words, hashes, mixed, table
+from candlewick.llm._shared import HashOf, Scratch, alnum_words, hashes, mixed, table
 
 SAMPLE_ROWS = 6_000
 SAMPLE_FEATURES = 24_000_000
@@ -99,14 +100,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     usable = labels.where(F.expr(f"doc_id IS NOT NULL AND {label} IS NOT NULL AND NOT ({HELD_OUT.format('doc_id')})"))
     sample = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
     # the sample has at most sample_rows rows of three numbers
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", "rank").mapInArrow(_featured, "features binary, y int, rank long")
-    rows, size = [], 0
-    for r in found.toLocalIterator(prefetchPartitions=True):
-        size += len(r.features) // 8
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text")).select("text", "y", "rank").mapInArrow(_featured, "features binary, y int, rank long")
+    kept = Scratch(docs.sparkSession, "toxicity").keep(found.withColumn("n", F.length("features") / 8), "sample")
+    # numbers of at most sample_rows rows, then the rows that fit, the least ranks first
+    last, size = -(2**63), 0
+    for rank, n in sorted(kept.select("rank", "n").collect()):
+        size += n
         if size > sample_features:
             break
-        rows.append((r.rank, r.features, r.y))
-    rows.sort(key=lambda r: r[:2])
+        last = rank
+    rows = sorted(map(tuple, kept.where(F.col("rank") <= last).select("rank", "features", "y").collect()))
     return fit([(np.frombuffer(x, np.uint64), y) for _, x, y in rows])
 
 
