@@ -9,8 +9,9 @@ Which groups a node is held against comes from signatures that no link can miss.
 tokens and that link differ in at most k = s (1 - t) / t tokens. Token space is cut into somewhat over k ranges; of a
 set's non-empty ranges more than k hold, so at least one is equal in both sets, and so is the hash of its tokens.
 Sizes are dealt into levels, a set signs at its own and at those a linked smaller set may have. Sets with too few
-non-empty ranges sign again under further seeds, the last time with empty ranges too. Long signatures (several tokens
-each) keep passages that many documents share from making candidates.
+non-empty ranges sign again under further seeds, the last time with empty ranges too. A signature of many
+nodes, as a passage in many documents makes, is left out by each set that has over k others: of these too at least one
+is equal in any set that it links with.
 
 Passes: (1) id and node of every document; (2) signatures, packed by reducer, of which those that differing nodes
 share are kept; (3) tokens of these nodes, compared within their groups, which gives components; (4) for signatures
@@ -42,6 +43,8 @@ MOST_BROADCAST = 1_000_000
 #: A level's largest size over its smallest.
 LEVEL = 1.6
 SEEDS = 3
+#: Nodes of a signature beyond which sets that can do without it do.
+MANY = 16
 #: Groups that are held against another at once, and sets that are compared at once.
 ASKING = 8
 QUERIES = 256
@@ -85,11 +88,12 @@ def _edges(ranges: int) -> np.ndarray:
     return np.array([i * 2**64 // ranges for i in range(1, ranges)], np.uint64)
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """64-bit signatures; sets that differ and link share at least one."""
-    size, out, k = len(tokens), [], 0
+def signatures(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures, of which sets that differ and link share at least one; and for each its level and seed (low
+    byte) and how many signatures of that level the set can do without (high byte)."""
+    size, out, marks, k = len(tokens), [tokens[:0]], [np.zeros(0, np.uint16)], 0
     if size < level(0, num, den)[0]:
-        return tokens[:0]
+        return out[0], marks[0]
     while level(k, num, den)[1] < size:
         k += 1
     while k >= 0 and level(k, num, den)[1] * den >= num * size:
@@ -100,12 +104,14 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(ordered ^ _STEP), dtype=np.uint64)])
             named = mixed(np.arange(ranges, dtype=np.uint64) + np.uint64(k * SEEDS + seed << 32))
             signs, full = mixed((sums[at[1:]] - sums[at[:-1]]) ^ named), at[1:] > at[:-1]
-            enough = int(full.sum()) > differ
-            out.append(signs if seed == SEEDS - 1 and not enough else signs[full])
-            if enough:
+            spare = int(full.sum()) - differ - 1
+            out.append(signs if seed == SEEDS - 1 and spare < 0 else signs[full])
+            # a set that signs under several seeds needs all of its signatures
+            marks.append(np.full(len(out[-1]), k * SEEDS + seed | (0 if seed else min(max(spare, 0), 255)) << 8, np.uint16))
+            if spare >= 0:
                 break
         k -= 1
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(marks)
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -134,22 +140,20 @@ def _named(measure: Measure):
 def _signed(measure: Measure, reducers: int):
     """Pass 2, before the shuffle: signatures and short node names, packed by reducer. A set signs once in a task."""
 
-    def packed(signs: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
-        flat = np.concatenate(signs)
+    def packed(signs: list[np.ndarray], marks: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        flat, mark = np.concatenate(signs), np.concatenate(marks)
         of = np.repeat(np.array(names, np.int64), [len(x) for x in signs])
         to = flat % np.uint64(reducers)
         order = np.argsort(to, kind="stable")
-        flat, of, to = flat[order], of[order], to[order]
+        flat, mark, of, to = flat[order], mark[order], of[order], to[order]
         cuts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
         spans = list(zip(cuts, cuts[1:]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(to[cuts[:-1]].astype(np.int64)), pa.array([flat[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([of[a:b].tobytes() for a, b in spans], pa.binary())],
-            names=["reducer", "signs", "names"],
-        )
+        columns = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (flat, mark, of)]
+        return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int64)), *columns], names=["reducer", "signs", "marks", "names"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        signs, names, size = [], [], 0
+        signs, marks, names, size = [], [], [], 0
         for batch in batches:
             for text in batch.column(0):
                 tokens = measure.tokens(text.as_py())
@@ -158,33 +162,38 @@ def _signed(measure: Measure, reducers: int):
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(name)
-                found = signatures(tokens, measure.num, measure.den)
+                found, mark = signatures(tokens, measure.num, measure.den)
                 if len(found):
                     signs.append(found)
+                    marks.append(mark)
                     names.append(name)
                     size += len(found)
                 if size > 2_000_000:
-                    yield packed(signs, names)
-                    signs, names, size = [], [], 0
+                    yield packed(signs, marks, names)
+                    signs, marks, names, size = [], [], [], 0
         if size:
-            yield packed(signs, names)
+            yield packed(signs, marks, names)
 
     return run
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """Pass 2, after the shuffle: signatures of several nodes, with each node and the least of them."""
-    signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint64)
-    names = np.frombuffer(b"".join(rows.column("names").to_pylist()), np.int64)
+    """Pass 2, after the shuffle: signatures of several nodes, with each node, the least of them, and whether they are many."""
+    signs, marks, names = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("signs", np.uint64), ("marks", np.uint16), ("names", np.int64)))
     order = np.lexsort((names, signs))
-    signs, names = signs[order], names[order]
+    signs, marks, names = signs[order], marks[order], names[order]
     new = np.concatenate([[True], (signs[1:] != signs[:-1]) | (names[1:] != names[:-1])])
-    signs, names = signs[new], names[new]
+    signs, marks, names = signs[new], marks[new], names[new]
     first = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
     counts = np.diff(np.concatenate([first, [len(signs)]]))
     kept = np.repeat(counts > 1, counts)
-    least = np.repeat(names[first], counts)
-    return pa.table({"sig": signs[kept].astype(np.int64), "h": names[kept], "lead": least[kept]})
+    least, many = np.repeat(names[first], counts), np.repeat(counts > MANY, counts)
+    return pa.table(
+        {
+            "sig": signs[kept].astype(np.int64), "h": names[kept], "lead": least[kept], "level": (marks[kept] & 255).astype(np.int32),
+            "spare": (marks[kept] >> 8).astype(np.int32), "many": many[kept],
+        }
+    )
 
 
 def _overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -290,8 +299,12 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     reps = named.where("node IS NOT NULL").groupBy("node", "h").agg(F.min("doc_id").alias("rep"))
 
     reducers = 4 * docs.rdd.getNumPartitions()
-    signed = docs.select("text").mapInArrow(_signed(measure, reducers), "reducer long, signs binary, names binary")
-    shared = scratch.keep(signed.groupBy("reducer").applyInArrow(_shared, "sig long, h long, lead long"), "shared")
+    signed = docs.select("text").mapInArrow(_signed(measure, reducers), "reducer long, signs binary, marks binary, names binary")
+    found = scratch.keep(signed.groupBy("reducer").applyInArrow(_shared, "sig long, h long, lead long, level int, spare int, many boolean"), "found")
+    # a set does without its signatures of many nodes if enough others are left to share one with any set that it links to
+    many = found.where("many")
+    needed = many.groupBy("h", "level").agg(F.count("*").alias("n"), F.max("spare").alias("s")).where("n > s").select("h", "level")
+    shared = scratch.keep(found.where("NOT many").unionByName(many.join(needed, ["h", "level"]).select(*found.columns)).select("sig", "h", "lead"), "shared")
 
     # groups: nodes with the same lead, split by hash into about GROUP; in two ways where there are several
     leads = shared.groupBy("h").agg(F.min("lead").alias("lead"))

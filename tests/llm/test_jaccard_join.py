@@ -10,14 +10,18 @@ from candlewick.llm._shared import alnum_words
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2)])
 def test_linked_sets_share_a_signature(num, den):
     rng = np.random.default_rng(5)
-    for _ in range(1500):
+    for _ in range(800):
         size = int(rng.integers(1, 400))
         a = rng.integers(0, 2**63, size, dtype=np.uint64)
         b = np.concatenate([a[rng.random(size) > rng.random() * 0.3], rng.integers(0, 2**63, int(rng.integers(0, 1 + size // 8)), dtype=np.uint64)])
         a, b = np.unique(a), np.unique(b)
         inter = len(np.intersect1d(a, b))
         if den * inter >= num * (len(a) + len(b) - inter) and not np.array_equal(a, b):
-            assert np.isin(j.signatures(a, num, den), j.signatures(b, num, den)).any(), (len(a), len(b), inter)
+            (x, m), (y, _) = j.signatures(a, num, den), j.signatures(b, num, den)
+            assert np.isin(x, y).any(), (len(a), len(b), inter)
+            shared = [(int(q & 255), int(q >> 8)) for q in m[np.isin(x, y)]]
+            # any set of signatures that a can do without leaves one that is shared
+            assert any(sum(lv == w for w, _ in shared) > spare for lv, spare in shared)
 
 
 def brute(texts, n, num, den, split=None):
@@ -57,6 +61,10 @@ def corpus():
                 copy[random.randrange(len(copy))] = random.choice(words)
             texts[k] = " ".join(copy)
             k += 1
+    line = [random.choice(words) for _ in range(14)]
+    for _ in range(60):
+        texts[k] = " ".join([random.choice(words) for _ in range(random.randint(3, 90))] + line)
+        k += 1
     texts |= {k: None, k + 1: "", k + 2: "one two", k + 3: "ONE two", k + 4: "one", k + 5: " \n"}
     return texts
 
@@ -64,6 +72,7 @@ def corpus():
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
 def test_classes_equal_brute_force(spark, monkeypatch, n, num, den):
     monkeypatch.setattr(j, "GROUP", 8)
+    monkeypatch.setattr(j, "MANY", 3)
     texts = corpus()
     df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, node string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.classes(df, j.Measure(n, num, den)).collect()}
