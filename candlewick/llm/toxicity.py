@@ -91,8 +91,8 @@ def fit(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [features(x.as_py()).tobytes() for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1), batch.column(2)], names=["features", "y", "rank"])
+        made = [features(x.as_py()).view(np.int64) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["features", "y", "rank"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
@@ -100,17 +100,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     usable = labels.where(F.expr(f"doc_id IS NOT NULL AND {label} IS NOT NULL AND NOT ({HELD_OUT.format('doc_id')})"))
     sample = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
     # the sample has at most sample_rows rows of three numbers
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text")).select("text", "y", "rank").mapInArrow(_featured, "features binary, y int, rank long")
-    kept = Scratch(docs.sparkSession, "toxicity").keep(found.withColumn("n", F.length("features") / 8), "sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text")).select("text", "y", "rank").mapInArrow(_featured, "features array<long>, y int, rank long")
+    kept = Scratch(docs.sparkSession, "toxicity").keep(found.withColumn("n", F.size("features")), "sample")
     # numbers of at most sample_rows rows, then the rows that fit, the least ranks first
-    last, size = -(2**63), 0
-    for rank, n in sorted(kept.select("rank", "n").collect()):
+    fitting, size = {}, 0
+    for rank, y, n in sorted(kept.select("rank", "y", "n").collect()):
         size += n
         if size > sample_features:
             break
-        last = rank
-    rows = sorted(map(tuple, kept.where(F.col("rank") <= last).select("rank", "features", "y").collect()))
-    return fit([(np.frombuffer(x, np.uint64), y) for _, x, y in rows])
+        fitting[rank] = y
+    # features that few rows have are left out before the rows come to the driver
+    each = kept.where(F.col("rank") <= max(fitting, default=-(2**63))).select("rank", F.explode("features").alias("f"))
+    shared = each.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("f")
+    rows = each.join(shared, "f").groupBy("rank").agg(F.array_sort(F.collect_list("f")).alias("features")).toArrow()
+    of = dict.fromkeys(fitting, np.zeros(0, np.uint64))
+    for rank, x in zip(rows.column("rank").to_pylist(), rows.column("features")):
+        of[rank] = np.sort(x.values.to_numpy().view(np.uint64))
+    return fit([(of[rank], y) for rank, y in fitting.items()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
