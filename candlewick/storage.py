@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,9 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path := f"{self.at}/{name}")
+        # Spark removes shuffle files of plans that nothing refers to any more, once the JVM has noticed
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
