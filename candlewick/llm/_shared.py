@@ -5,7 +5,7 @@ from __future__ import annotations
 from candlewick.storage import Scratch, scratch_root
 from candlewick.tables import table
 
-__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "HashOf", "Scratch", "alnum_words", "grams", "hashes", "mixed", "scratch_root", "spaced_words", "table"]
+__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "Scratch", "alnum_words", "grams", "hashes", "mixed", "scratch_root", "spaced_words", "table"]
 
 #: Bytes that separate words of ASCII letters, digits and anything beyond ASCII; letters become lower case.
 ALNUM_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -26,7 +26,7 @@ def spaced_words(text: str | None) -> list[bytes]:
 class HashOf(dict):
     """64-bit xxhash of words, remembered for the frequent ones; forgets all when full, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -38,10 +38,14 @@ class HashOf(dict):
         return value
 
 
-def hashes(words: list, cache: HashOf):
+#: One for all operators of a worker, as workers are used again by later stages.
+_known = HashOf()
+
+
+def hashes(words: list):
     import numpy as np
 
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x):

@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm._shared import HashOf, Scratch, alnum_words, grams, hashes, table
+from candlewick.llm._shared import Scratch, alnum_words, grams, hashes, table
 
 WINDOW = 10
 GRAM = 5
 BLOCK_CHARS = 16_000_000
 
-_words = HashOf()
-
 
 def _least(g: np.ndarray) -> np.ndarray:
     """For each window of WINDOW words the least of its hashes of GRAM words."""
@@ -57,7 +55,7 @@ class Index:
         short: dict[int, set[int]] = defaultdict(set)
         for item, text in items:
             words = alnum_words(text)
-            h = hashes(words, _words)
+            h = hashes(words)
             size = min(WINDOW, len(words))
             for i in range(len(words) - size + 1) if words else ():
                 self.windows[b" ".join(words[i : i + size])].add(item)
@@ -71,7 +69,7 @@ class Index:
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Start and end of the hit spans, in order and apart, and the items."""
-        h, found, items = hashes(words, _words), [], set()
+        h, found, items = hashes(words), [], set()
         places = []
         if len(words) >= WINDOW and len(self.prints):
             places.append((WINDOW, np.flatnonzero(_among(_least(grams(h, GRAM)), self.prints))))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm._shared import HashOf, Scratch, alnum_words, grams, hashes, mixed, spaced_words, table
+from candlewick.llm._shared import Scratch, alnum_words, grams, hashes, mixed, spaced_words, table
 from candlewick.llm.components import components
 
 GROUP = 64
@@ -49,7 +49,6 @@ MANY = 16
 ASKING = 8
 QUERIES = 256
 
-_words = HashOf()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +60,7 @@ class Measure:
 
     def tokens(self, text: str | None) -> np.ndarray:
         """Ordered distinct hashes of the word n-grams; of fewer words the hash of all."""
-        h = hashes(self.split(text), _words)
+        h = hashes(self.split(text))
         if not len(h):
             return h
         # a run of fewer words is no n-gram of another text
@@ -168,7 +167,7 @@ def _signed(measure: Measure, reducers: int):
                     marks.append(mark)
                     names.append(name)
                     size += len(found)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield packed(signs, marks, names)
                     signs, marks, names, size = [], [], [], 0
         if size:
@@ -355,6 +354,7 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     of = members.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     joined = scratch.keep(of.join(least, "root").select("node", "component_id"), "joined")
+    scratch.drop("found", "shared", "members", "sets", "regrouped", "spans", "asked", "tokens")
     final = reps.join(joined, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     return named.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -90,7 +90,7 @@ class Encoder:
     those of its words joined, and words come back often. The memory of words is bounded by most.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -24,21 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm._shared import HashOf, Scratch, alnum_words, hashes, mixed, table
+from candlewick.llm._shared import Scratch, alnum_words, hashes, mixed, table
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 SAMPLE_FEATURES = 24_000_000
 MIN_ROWS = 5
 #: A fold of five that no model sees.
 HELD_OUT = "crc32(CAST({} AS STRING)) % 5 = 0"
 
-_words = HashOf()
 _SKIPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def features(text: str | None) -> np.ndarray:
     """Distinct hashes of words, word pairs, and pairs that skip one or two words."""
-    h = hashes(alnum_words(text), _words)
+    h = hashes(alnum_words(text))
     pairs = [mixed(h[:-d] * _SKIPS[d - 1] + h[d:]) for d in (1, 2, 3) if len(h) > d]
     return np.unique(np.concatenate([h, *pairs]))
 
