@@ -44,7 +44,9 @@ MOST_BROADCAST = 1_000_000
 LEVEL = 1.6
 SEEDS = 3
 #: Nodes of a signature beyond which sets that can do without it do.
-MANY = 16
+MANY = 8
+#: Nodes of a group in pass 4, where larger groups meet less often.
+REGROUP = 256
 #: Groups that are held against another at once, and sets that are compared at once.
 ASKING = 8
 QUERIES = 256
@@ -327,8 +329,8 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     # groups anew: large components by themselves, small ones whole, so that a group spans few components
     labelled = members.join(within, "node", "left").select("node", "h", "lead", F.coalesce("root", "node").alias("root"))
     counts = labelled.groupBy("lead", "root").agg(F.count("*").alias("n"))
-    small = counts.where(f"n < {GROUP}").groupBy("lead").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
-    placed = counts.join(small, "lead", "left").selectExpr("lead", "root", f"IF(n < {GROUP}, NULL, ceil(n / {GROUP})) AS own", "coalesce(parts, 1) AS parts")
+    small = counts.where(f"n < {REGROUP}").groupBy("lead").agg(F.ceil(F.sum("n") / REGROUP).alias("parts"))
+    placed = counts.join(small, "lead", "left").selectExpr("lead", "root", f"IF(n < {REGROUP}, NULL, ceil(n / {REGROUP})) AS own", "coalesce(parts, 1) AS parts")
     group = f"IF(own IS NULL, xxhash64(lead, {_spread('root', 'parts')}), xxhash64(lead, root, {_spread('h', 'own')}))"
     regrouped = scratch.keep(labelled.join(placed, ["lead", "root"]).select("node", "h", "root", F.expr(group).alias("g")), "regrouped")
 

@@ -100,7 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     sample = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
     # the sample has at most sample_rows rows of three numbers
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text")).select("text", "y", "rank").mapInArrow(_featured, "features array<long>, y int, rank long")
-    kept = Scratch(docs.sparkSession, "toxicity").keep(found.withColumn("n", F.size("features")), "sample")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    kept = scratch.keep(found.withColumn("n", F.size("features")), "sample")
     # numbers of at most sample_rows rows, then the rows that fit, the least ranks first
     fitting, size = {}, 0
     for rank, y, n in sorted(kept.select("rank", "y", "n").collect()):
@@ -115,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     of = dict.fromkeys(fitting, np.zeros(0, np.uint64))
     for rank, x in zip(rows.column("rank").to_pylist(), rows.column("features")):
         of[rank] = np.sort(x.values.to_numpy().view(np.uint64))
+    scratch.drop("sample")
     return fit([(of[rank], y) for rank, y in fitting.items()])
 
 
