@@ -340,10 +340,12 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     spans = spans.join(several, "sig")
     others = spans.select("sig", F.col("g").alias("to"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     asked = scratch.keep(spans.join(others, "sig").where("g <= to AND (lo <> lo2 OR hi <> hi2 OR lo <> hi)").select("g", "to").distinct(), "asked")
+    scratch.drop("found", "shared", "spans")
     if asked.isEmpty():
         roots = within
     else:
         tokens = scratch.keep(sets.select("node", "tokens").join(regrouped.select("node", "root", "g"), "node"), "tokens")
+        scratch.drop("sets")
         blocks = asked.groupBy("to").agg(F.ceil(F.count("*") / ASKING).alias("blocks"))
         asking = asked.join(blocks, "to").withColumn("block", F.expr(_spread("g", "blocks"))).join(tokens, "g").select("to", "block", "node", "root", "tokens")
         # under names of its own, as both sides come from the same tables
@@ -356,7 +358,7 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     of = members.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     joined = scratch.keep(of.join(least, "root").select("node", "component_id"), "joined")
-    scratch.drop("found", "shared", "members", "sets", "regrouped", "spans", "asked", "tokens")
+    scratch.drop("members", "sets", "regrouped", "asked", "tokens")
     final = reps.join(joined, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     return named.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
