@@ -11,6 +11,13 @@ units, so a line that a third of all rows hold is split over tasks by adaptive e
 Defined results: null and empty texts have no units; repeated rows are documents of their own, of which the first keeps
 its lines; a null doc_id ranks last; a document none of whose lines go is returned with none. Extra columns are ignored
 by spans() and kept by cleaned(). An empty table gives no rows.
+
+passages() finds repeats wherever lines begin and end. Its unit is every run of PASSAGE_WORDS words of a text, compared
+by 64 bits. In each such run, one of its shorter runs of _SHORT words is chosen by least hash (winnowing), so texts that
+share a passage share a chosen run; only the neighbourhoods of chosen runs that occur twice have their units shuffled.
+Words of a unit that has occurred before go; a stretch of neighbouring units is one span, whose first_doc_id is that of
+its first unit. Each word that goes therefore stands in the same words at an earlier place. Offsets are from the first
+word to the end of the last. A null doc_id, repeated rows and empty tables are as above.
 """
 
 from __future__ import annotations
@@ -21,9 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm._shared import Scratch, alnum_words, table
+from candlewick.llm._shared import ALNUM_LOWER, Scratch, alnum_words, hashes, mixed, table
 
 MIN_WORDS = 10
+#: A run of so many words that has occurred before is a repeated passage.
+PASSAGE_WORDS = 50
+_SHORT = 25
 
 _UNIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
 
@@ -95,6 +105,149 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return joined.mapInArrow(run, joined.schema)
 
 
+def _places(text: str | None):
+    """Starts and ends of the words, in code points, and their hashes."""
+    import numpy as np
+
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    spaced = raw.translate(ALNUM_LOWER)
+    inside = np.concatenate([[False], np.frombuffer(spaced, np.uint8) != 32, [False]])
+    borders = np.flatnonzero(inside[1:] != inside[:-1])
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return points[borders[::2]], points[borders[1::2]], hashes(spaced.split())
+
+
+def _runs(h, n: int):
+    """Hashes of all runs of n words, in order, by doubling."""
+    import numpy as np
+
+    out, length, total = None, 0, len(h) - n + 1
+    power, size = h, 1
+    while total > 0:
+        if n & size:
+            out = power if out is None else mixed(out[: len(power) - length] * np.uint64(0x9E3779B97F4A7C15) + power[length:])
+            length += size
+        if length == n:
+            return out
+        power = mixed(power[:-size] * np.uint64(0xC2B2AE3D27D4EB4F) + power[size:])
+        size *= 2
+    return h[:0]
+
+
+def _extreme(of, x, width: int):
+    """Least or greatest value of each window."""
+    size = 1
+    while 2 * size <= width:
+        x = of(x[:-size], x[size:])
+        size *= 2
+    return of(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def _chosen(h, words: int):
+    """Starts of the chosen short runs, and their hashes: one at least in every run of words."""
+    import numpy as np
+
+    short = min(_SHORT, words)
+    found = _runs(h, short) if len(h) >= words else h[:0]
+    if not len(found):
+        return np.zeros(0, np.int64), found
+    width = words - short + 1
+    # the least of each window; a run is chosen if it equals the greatest of these over the windows that it is in
+    least = _extreme(np.minimum, found, width)
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(found == _extreme(np.maximum, np.concatenate([edge, least, edge]), width))
+    return at, found[at]
+
+
+def _choose(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a run that one text holds twice counts twice
+            made = [_chosen(hashes(alnum_words(x.as_py())), words)[1].view("int64") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "short"])
+
+    return run
+
+
+def _near(words: int):
+    """Units around the short runs that occur twice: the places of their words, packed, and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            places, units_ = [], []
+            for text, twice in zip(batch.column(2), batch.column(3)):
+                if not twice.is_valid:
+                    places.append(np.zeros(0, np.int64))
+                    units_.append(np.zeros(0, np.int64))
+                    continue
+                starts, ends, h = _places(text.as_py())
+                at, short = _chosen(h, words)
+                full = _runs(h, words)
+                reach = words - min(_SHORT, words)
+                marks = np.zeros(len(full) + len(h) + 1, np.int64)
+                hit = at[np.isin(short, twice.values.to_numpy().view(np.uint64))]
+                np.add.at(marks, np.maximum(hit - reach, 0), 1)
+                np.add.at(marks, hit + 1, -1)
+                own = np.flatnonzero(np.cumsum(marks)[: len(full)] > 0)
+                places.append(starts[own] << 32 | ends[own + words - 1])
+                units_.append(full[own].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int64())), pa.array(units_, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "places", "hashes"],
+            )
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of repeated units that overlap, as spans."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
+    for batch in batches:
+        out = []
+        for listed in batch.column(1).to_pylist():
+            own: list[dict] = []
+            for x in listed:
+                start, end = x["at"] >> 32, x["at"] & 0xFFFFFFFF
+                if own and start < own[-1]["end"]:
+                    own[-1]["end"] = max(end, own[-1]["end"])
+                else:
+                    own.append({"start": start, "end": end, "first_doc_id": x["first_doc_id"]})
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "removed"])
+
+
+def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """row, doc_id and removed, an array of (start, end, first_doc_id) by start, for every row of docs."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = scratch.keep(docs, "docs")
+    chosen = scratch.keep(docs.select("row", "text").mapInArrow(_choose(words), "row long, short array<long>"), "short").select("row", F.explode("short").alias("h"))
+    twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    hits = chosen.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("twice"))
+    hits = scratch.keep(hits, "twice")
+    near = docs.join(hits, "row", "left").select("row", "doc_id", "text", "twice").mapInArrow(_near(words), "row long, doc_id long, places array<long>, hashes array<long>")
+    near = scratch.keep(near, "near")
+    scratch.drop("docs", "short", "twice")
+    each = near.select("row", "doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("u")).select("row", "doc_id", F.col("u.places").alias("at"), F.col("u.hashes").alias("h"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "at")
+    first = each.groupBy("h").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("h", F.struct("f.doc_id", "f.row", "f.at").alias("f"))
+    again = each.select("row", "at", "h").join(first, "h").where("row <> f.row OR at <> f.at").select("row", F.struct("at", F.col("f.doc_id").alias("first_doc_id")).alias("x"))
+    found = again.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x")).mapInArrow(_joined, "row long, removed array<struct<start:int,end:int,first_doc_id:bigint>>")
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,first_doc_id:bigint>>)")
+    return near.select("row", "doc_id").join(found, "row", "left").select("row", "doc_id", F.coalesce("removed", none).alias("removed"))
+
+
+def op8_passage_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"),
+        F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("removed_chars"),
+        F.expr("array_join(transform(removed, x -> concat_ws(':', x.start, x.end, x.first_doc_id)), ',')").alias("removed"),
+    )
+
+
 def op8_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     return found.select(

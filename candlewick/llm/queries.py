@@ -14,6 +14,7 @@ QUERIES = {
     "op6_winnowing": decontam.op6_winnowing,
     "op7_token_group": jaccard_join.op7_token_group,
     "op8_line_hashing": line_dedup.op8_line_hashing,
+    "op8_passage_hashing": line_dedup.op8_passage_hashing,
     "op9_diagonal_voting": license_scan.op9_diagonal_voting,
     "op10_ftrl": toxicity.op10_ftrl,
     "pipeline": corpus_pipeline.run,

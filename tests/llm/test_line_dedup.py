@@ -1,3 +1,5 @@
+import random
+
 from candlewick.llm import line_dedup as ld
 
 LINE = "one two three four five six seven eight nine ten eleven"
@@ -19,3 +21,41 @@ def test_without_cuts_lines_with_their_breaks():
     assert ld.without("ab\ncd\nef", [(3, 5)]) == "ab\nef"
     assert ld.without("ab\ncd\nef", [(6, 8)]) == "ab\ncd"
     assert ld.without("ab", [(0, 2)]) == ""
+
+
+def brute_passages(docs, words):
+    """Spans by brute force over (doc_id, text) in the order of docs."""
+    import re
+
+    seen, out = {}, {}
+    for k in sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, k)):
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), docs[k][1] or ""))]
+        own = []
+        for i in range(len(found) - words + 1):
+            start, end = found[i][0], found[i + words - 1][1]
+            at = seen.setdefault(tuple(x[2] for x in found[i : i + words]), (k, i))
+            if at == (k, i):
+                continue
+            if own and start < own[-1][1]:
+                own[-1][1] = end
+            else:
+                own.append([start, end, docs[at[0]][0]])
+        out[k] = [tuple(x) for x in own]
+    return out
+
+
+def test_passages_inside_lines_equal_brute_force(spark):
+    random.seed(5)
+    prose = lambda n: " ".join(random.choice(["Été", "b", "two,", "x-y", "中", "3", "long\n", "w."]) + str(random.randrange(99)) for _ in range(n))
+    passage = prose(59)
+    short = passage.replace(" ", "\n")
+    docs = [(7, prose(80) + " " + passage + " " + prose(70)), (3, f"{prose(20)} {passage.replace("long", "LONG!")} tail of one line"), (9, prose(30) + short), (None, passage), (4, None), (5, ""), (6, "one two " * 90), (8, prose(49))]
+    docs += [(7, docs[0][1])] + [(20 + k, prose(30) + passage[:300] + prose(60)) for k in range(3)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, n int").coalesce(1)
+    for words in (50, 12):
+        got = [[tuple(x) for x in r.removed] for r in sorted(ld.passages(df, words).collect(), key=lambda r: r.row)]
+        expected = brute_passages(docs, words)
+        assert got == [expected[k] for k in range(len(docs))]
+    found = {r.doc_id: r.removed for r in ld.passages(df).where("doc_id IN (3, 9)").collect()}
+    assert found[3] == [] and len(found[9]) == 1
+    assert ld.passages(df.limit(0)).count() == 0
