@@ -18,6 +18,10 @@ share a passage share a chosen run; only the neighbourhoods of chosen runs that
 Words of a unit that has occurred before go; a stretch of neighbouring units is one span, whose first_doc_id is that of
 its first unit. Each word that goes therefore stands in the same words at an earlier place. Offsets are from the first
 word to the end of the last. A null doc_id, repeated rows and empty tables are as above.
+
+repeats() adds runs of whole lines of MIN_WORDS words or more in all, so short lines are compared with their neighbours:
+its units are, of the lines that have words, the shortest runs that reach the minimum from each line on and up to each
+line. Any repeated run of lines that reaches the minimum is made of such units. Spans of both kinds that overlap are one.
 """
 
 from __future__ import annotations
@@ -49,10 +53,31 @@ def units(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def _units(min_words: int):
+def line_runs(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
+    """The shortest runs of lines with min_words words, from each line on and up to each line."""
+    from xxhash import xxh3_128_digest
+
+    lines, at = [], 0
+    for line in (text or "").split("\n"):
+        if words := alnum_words(line):
+            lines.append((at, at + len(line), words))
+        at += len(line) + 1
+    found, i, n = set(), 0, 0
+    for j in range(len(lines)):
+        n += len(lines[j][2])
+        while n >= min_words:  # the first run of each start
+            found.add((i, j))
+            n -= len(lines[i][2])
+            i += 1
+        if i and n < min_words <= n + len(lines[i - 1][2]):  # the last start for this end
+            found.add((i - 1, j))
+    return [(lines[i][0], lines[j][1], xxh3_128_digest(b"\n".join(b" ".join(w) for _, _, w in lines[i : j + 1]))) for i, j in sorted(found)]
+
+
+def _units(min_words: int, of=units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [units(x.as_py(), min_words) for x in batch.column(2)]
+            found = [of(x.as_py(), min_words) for x in batch.column(2)]
             listed = pa.array([[{"start": a, "end": b, "digest": d} for a, b, d in f] for f in found], _UNIT)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], names=["row", "doc_id", "units"])
 
@@ -64,10 +89,10 @@ def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _spans(docs.withColumn("row", F.monotonically_increasing_id()), min_words)
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int, of=units) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = scratch.keep(docs.mapInArrow(_units(min_words), "row long, doc_id long, units array<struct<start:int,end:int,digest:binary>>"), "units")
+    made = scratch.keep(docs.mapInArrow(_units(min_words, of), "row long, doc_id long, units array<struct<start:int,end:int,digest:binary>>"), "units")
     each = made.select("row", "doc_id", F.explode("units").alias("u")).select("row", "doc_id", "u.*")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
     first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("digest", "f")
@@ -201,6 +226,9 @@ def _near(words: int):
     return run
 
 
+_REMOVED = "row long, removed array<struct<start:int,end:int,first_doc_id:bigint>>"
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of repeated units that overlap, as spans."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
@@ -215,14 +243,32 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     own.append({"start": start, "end": end, "first_doc_id": x["first_doc_id"]})
             out.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "removed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), *batch.columns[2:]], names=["row", "removed", *batch.schema.names[2:]])
 
 
 def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     """row, doc_id and removed, an array of (start, end, first_doc_id) by start, for every row of docs."""
     scratch = Scratch(docs.sparkSession, "passages")
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = scratch.keep(docs, "docs")
+    return _passages(scratch.keep(_numbered(docs), "docs"), words, scratch)
+
+
+def repeats(docs: DataFrame, words: int = PASSAGE_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """As passages(), with repeated runs of lines too."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    docs = scratch.keep(_numbered(docs), "docs")
+    packed = "transform(removed, x -> struct(shiftleft(CAST(x.start AS BIGINT), 32) | x.end AS at, x.first_doc_id AS first_doc_id))"
+    lines = scratch.keep(_spans(docs, min_words, line_runs).where("size(removed) > 0").select("row", F.expr(packed).alias("lines")), "lines")
+    found = _passages(docs, words, scratch).join(lines, "row", "left")
+    both = found.select("row", F.expr(f"array_sort(concat({packed}, coalesce(lines, array())))").alias("x"), "doc_id")
+    return both.mapInArrow(_joined, f"{_REMOVED}, doc_id long").select("row", "doc_id", "removed")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _passages(docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """docs: row, doc_id, text, kept in scratch as docs, which is dropped."""
     chosen = scratch.keep(docs.select("row", "text").mapInArrow(_choose(words), "row long, short array<long>"), "short").select("row", F.explode("short").alias("h"))
     twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     hits = chosen.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("twice"))
@@ -234,13 +280,13 @@ def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "at")
     first = each.groupBy("h").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("h", F.struct("f.doc_id", "f.row", "f.at").alias("f"))
     again = each.select("row", "at", "h").join(first, "h").where("row <> f.row OR at <> f.at").select("row", F.struct("at", F.col("f.doc_id").alias("first_doc_id")).alias("x"))
-    found = again.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x")).mapInArrow(_joined, "row long, removed array<struct<start:int,end:int,first_doc_id:bigint>>")
+    found = again.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x")).mapInArrow(_joined, _REMOVED)
     none = F.expr("CAST(array() AS array<struct<start:int,end:int,first_doc_id:bigint>>)")
     return near.select("row", "doc_id").join(found, "row", "left").select("row", "doc_id", F.coalesce("removed", none).alias("removed"))
 
 
 def op8_passage_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages(table(spark, sf_dir, "documents"))
+    found = repeats(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.size("removed").cast("long").alias("n_removed"),
         F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("removed_chars"),

@@ -59,3 +59,19 @@ def test_passages_inside_lines_equal_brute_force(spark):
     found = {r.doc_id: r.removed for r in ld.passages(df).where("doc_id IN (3, 9)").collect()}
     assert found[3] == [] and len(found[9]) == 1
     assert ld.passages(df.limit(0)).count() == 0
+
+
+def test_short_lines_are_compared_with_their_neighbours(spark):
+    verse = "one two\n\nthree four five\nsix seven\neight nine\nten eleven twelve\nend"
+    docs = [(2, f"first\n{verse}\nlast"), (1, verse), (3, "one two\nthree four five"), (4, f"{LINE} more\nshort"), (5, f"x\n{LINE} more\nshort\nother")]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in ld.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(6, 6 + len(verse), 1)], 3: [], 4: [], 5: [(2, 2 + len(LINE) + 11, 4)]}
+    random.seed(2)
+    for _ in range(300):
+        n = [random.randrange(0, 7) for _ in range(random.randrange(9))]
+        text = "\n".join(" ".join(f"w{i}_"[:-1] for _ in range(k)) for i, k in enumerate(n))
+        place = [sum(len(x) + 1 for x in text.split("\n")[:i]) for i in range(len(n))]
+        full = [i for i in range(len(n)) if n[i]]
+        runs = {(i, j) for i in full for j in full if i <= j and sum(n[i : j + 1]) >= 10}
+        runs = {(i, j) for i, j in runs if sum(n[i:j]) < 10 or sum(n[i + 1 : j + 1]) < 10}
+        assert [x[:2] for x in ld.line_runs(text, 10)] == sorted((place[i], place[j] + len(text.split("\n")[j])) for i, j in runs)
