@@ -3,8 +3,9 @@ r"""License scans by diagonal voting, in DataFrame operations alone.
 Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text. Every rolling pair of words is hashed and joined with
 the templates' pairs; a hit is confirmed by its words. A hit at word p of the text and place o of a template votes for
 the diagonal p - o. Votes are summed by document, template and diagonal. A base phrase stands where one diagonal has all
-of its pairs. For a license text neighbouring diagonals are merged (words were put in or left out) and the span that
-the merged votes cover is verified: at least COVERED of the template's pairs, within its length plus twice NEAR.
+of its pairs. For a license text neighbouring diagonals are merged (words were put in or left out), which keeps the span
+within the template's length plus twice NEAR, and verified: at least COVERED of the template's places, each counted
+once, have a vote there. score is, as the SQL has it, the largest share of votes, in which a repeated pair counts again.
 
 One scan, one shuffle: only hits and one row for each document leave the scan, dealt by document. The template table is
 fixed in this file (some hundred pairs) and therefore broadcast.
@@ -66,12 +67,12 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     # all that follows is by row, so this is the one exchange
     hits = hits.select("row", "doc_id", "n_words", "t", "label", "base", "pairs", "p", F.expr("p - o").alias("d")).repartition("row")
 
-    votes = hits.groupBy("row", "doc_id", "n_words", "t", "label", "base", "pairs", "d").agg(F.count("*").alias("v"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    votes = hits.groupBy("row", "doc_id", "n_words", "t", "label", "base", "pairs", "d").agg(F.count("*").alias("v"), F.expr("bit_or(shiftleft(1L, CAST(p - d AS INT)))").alias("o"))
     near = Window.partitionBy("row", "t").orderBy("d").rangeBetween(-NEAR, NEAR)
-    merged = votes.withColumns({"m": F.least(F.sum("v").over(near), F.col("pairs")), "mlo": F.min("lo").over(near), "mhi": F.max("hi").over(near)})
+    merged = votes.withColumns({"m": F.least(F.sum("v").over(near), F.col("pairs")), "places": F.bit_count(F.bit_or("o").over(near))})  # templates have fewer than 64 pairs
     place = F.expr("base AND v = pairs")
     share = F.expr("CAST(m AS DOUBLE) / pairs")
-    verified = F.expr(f"NOT base AND m >= {COVERED} * pairs AND mhi - mlo < pairs + {2 * NEAR}")
+    verified = F.expr(f"NOT base AND places >= {COVERED} * pairs")
     found = F.when(place, F.lit(1.0)).when(F.expr("NOT base"), share).otherwise(F.lit(0.0))
     return (
         merged.groupBy("row", "doc_id", "n_words")

@@ -29,3 +29,9 @@ def test_places_labels_and_edges(spark):
         (9, 6, 0, None, None, "", "mit"),
     ]
     assert ls.scan(df.limit(0)).count() == 0
+
+
+def test_repeated_words_are_no_license(spark):
+    texts = ["under the under the under the", "under the mit under the mit", "x under the mit license", "released under our the mit license", "by 4 0 by 4 0 by 4 0 under cc under cc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in ls.scan(df).orderBy("doc_id").collect()] == ["", "", "mit", "mit", ""]
