@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences, by hierarchical residual packing.
 
 Round 0, one pass over the texts: each partition tokenises its documents, packs the pieces best-fit and closes bins
-that are nearly full. Later rounds: the underfull bins of FAN neighbouring groups meet in one task, where each bin is
+that are nearly full. All others stay open to the partition's later pieces: its task holds the numbers of their pieces,
+not ids. Later rounds: the underfull bins of FAN neighbouring groups meet in one task, where each bin is
 an item of its own length and is packed best-fit again, up to a single group. A group hands on at most CARRY bins, the
-emptiest; fuller ones beyond are closed as they are, so no task and no round grows with the input and no piece is lost.
+emptiest; fuller ones beyond are closed as they are, so no later task grows with the input and no piece is lost.
 
 Only the bins that move on are shuffled, with their pieces' numbers, never texts or ids. Each round is written to the
 shared folder, so its numbering is fixed and a lost executor costs one task.
@@ -35,7 +36,7 @@ SLACK = 8
 CARRY = 256
 #: Groups that meet in one.
 FAN = 8
-#: Pieces that are packed together in round 0.
+#: Pieces that are packed together in round 0, at least.
 BUFFER = 50_000
 
 _WS = r" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -202,15 +203,16 @@ def _first_round(path: str, capacity: int, separator: int):
     end = separator.to_bytes(4, "little")  # as array("I") has them on the machines that Spark runs on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, encoder, items, number = TaskContext.get().partitionId(), _encoder(path), [], 0
+        group, encoder, items, number, most = TaskContext.get().partitionId(), _encoder(path), [], 0, BUFFER
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.ids(text.as_py() or "") + end
                 for k, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     items.append((n, [(doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]))]))
-                if len(items) >= BUFFER:
-                    # what stays open is packed again with the pieces to come, unless it fills half of the buffer
-                    closed, items = _split(best_fit(items, capacity), capacity, BUFFER // 2)
+                if len(items) >= most:
+                    # what stays open is packed again with the pieces to come, as many as are open at least
+                    closed, items = _split(best_fit(items, capacity), capacity, None)
+                    most = max(BUFFER, 2 * len(items))
                     yield _rows(0, group, closed, [], number)
                     number += len(closed)
         closed, open_ = _split(best_fit(items, capacity), capacity, CARRY)

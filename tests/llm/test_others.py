@@ -108,6 +108,25 @@ def test_packing_keeps_every_id(spark, vocabulary, monkeypatch):
     assert packing.pack(df.limit(0), vocabulary).count() == 0
 
 
+def test_open_bins_are_filled_by_later_pieces(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "BUFFER", 50)
+    e = packing.Encoder(vocabulary)
+    one = len(e.ids("word " * 1001)) // 4 - len(e.ids("word " * 1000)) // 4
+    texts = ["word " * (n // one) for n in [1100] * 300 + [900] * 300]
+    monkeypatch.setattr(packing, "CARRY", 1)
+
+    class Here:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: Here))
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t])], names=["doc_id", "text"]) for k, t in enumerate(texts)]
+    bins = [b for r in packing._first_round(vocabulary, 2048, 0)(batches) for b in r.column(3).to_pylist()]
+    assert len(bins) == 300 and sorted(m["doc_id"] for b in bins for m in b) == list(range(600))
+    assert all(sum(m["length"] for m in b) <= 2048 for b in bins)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     import random
 
