@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from candlewick.llm._shared import Scratch, alnum_words, hashes, mixed, table
 
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 6_000
 SAMPLE_FEATURES = 24_000_000
 MIN_ROWS = 5
 #: A fold of five that no model sees.

@@ -147,3 +147,11 @@ def test_toxicity_learns_and_holds_out(spark):
     assert got[10**6].score == got[10**6 + 1].score < 0.5 and len(model.keys) < 500
     empty = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(df, empty).collect()} == {0}
+
+
+def test_toxicity_sample_has_six_thousand_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(len(rows)))
+    docs = spark.range(9000).selectExpr("id AS doc_id", "'w' AS text")
+    toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
+    assert seen == [6000]
