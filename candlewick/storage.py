@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +33,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Makes Spark remove an execution's shuffle files at its end.
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written once to the shared folder and read again from there by whoever needs them."""
+    """Tables written once to the shared folder and read again from there by whoever needs them.
+
+    They go when dropped, or else with the application: results read them lazily.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        p, fs = hadoop_path(spark, self.at)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(path := f"{self.at}/{name}")
-        # Spark removes shuffle files of plans that nothing refers to any more, once the JVM has noticed
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        # nothing reads the shuffles of this plan once its table is written
+        before = self.spark.conf.get(_REMOVE_SHUFFLES, "false")
+        self.spark.conf.set(_REMOVE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path := f"{self.at}/{name}")
+        finally:
+            self.spark.conf.set(_REMOVE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
