@@ -6,7 +6,9 @@ Kinds, in order: email, ip, card, phone, then what the method adds: url, account
 leftmost and apart: an item that fails validation uses up its text and is not tried again.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty and has no spans; repeated rows are
-judged one by one; other columns stay as they are (a column named spans is replaced). Rows are independent: no shuffle.
+judged one by one; of spans of one kind the leftmost counts, spans of several kinds at one place are all given; other
+columns stay as they are (a column named spans is replaced); an empty table gives none. Very long texts are read whole,
+in time that grows with their length. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
@@ -34,7 +36,12 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`|\\^{}]+")
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|code|is|#|:|=))*\s*([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.I)
+#: What may stand between a cue and its number.
+_CUED = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|code|is|#|:|=))*\s*", re.I)
+_END = r"(?![A-Za-z0-9])"
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])*", re.I)
+_GROUPED = re.compile(rf"[0-9]{{2,4}}(?: [0-9]{{2,4}}{_END})+")
+_TOKEN = re.compile(rf"[A-Z]{{0,2}}[0-9][A-Z0-9]*(?:-[A-Z]*[0-9][A-Z0-9]*)*{_END}", re.I)
 _SECRET = re.compile(r"\s*[:=]\s*([\"']?)([A-Za-z0-9_./+=-]{12,})\1")
 
 
@@ -47,6 +54,33 @@ def _digits(text: str) -> str:
     return "".join([c for c in text if c in _DIGITS])
 
 
+def iban(text: str) -> bool:
+    """Whether length and check digits are those of an international bank account number, in groups that hold digits (the
+    second, which may name a bank, needn't)."""
+    if not all(any(c in _DIGITS for c in x) for k, x in enumerate(text.split(" ")) if k != 1):
+        return False
+    text = text.replace(" ", "").upper()
+    return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def account(text: str, at: int) -> tuple[int, int, bool] | None:
+    """Start, end and validity of the number after a cue that ends at a place.
+
+    A bank account number by its check digits, groups of two to four digits with a space between, or one word that holds
+    digits, whose parts between hyphens each hold one. A word without digits is never taken in.
+    """
+    at = _CUED.match(text, at).end()
+    if m := _IBAN.match(text, at, at + 50):
+        ends = [e for e in range(at + 15, m.end() + 1) if not text[e - 1].isspace() and not text[e : e + 1].isalnum()]
+        if found := [e for e in ends if iban(text[at:e])]:
+            return at, found[-1], True
+    for pattern in (_GROUPED, _TOKEN):
+        if m := pattern.match(text, at):
+            if len(_digits(m[0])) >= 6 or pattern is _TOKEN:
+                return at, m.end(), 6 <= len(_digits(m[0])) and len(m[0]) <= 34
+    return None
+
+
 class Finder:
     def __init__(self):
         import ahocorasick
@@ -92,8 +126,8 @@ class Finder:
                         body = m[0].rstrip(".,;:!?)]*&%#$")
                         add("url", at, last + 1 + len(body), "." in body.split("/")[0].strip("."))
                 elif kind == "account":
-                    if not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-                        add("account", m.start(1), m.end(1), len(_digits(m[1])) >= 6)
+                    if not (at and text[at - 1].isalnum()) and (found_at := account(text, last + 1)):
+                        add("account", *found_at)
                 elif m := _SECRET.match(text, last + 1):
                     add("secret", m.start(2), m.end(2), any(c in _DIGITS for c in m[2]))
         return sorted(found)
@@ -158,4 +192,6 @@ def op4_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(f"CAST(size(filter(spans, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in BASE],
         F.sha2(F.expr(joined.format(f"filter(spans, x -> x.kind IN ({base}))")), 256).alias("base_sha256"),
         F.expr(joined.format("spans")).alias("spans"),
+        *[F.expr(f"CAST(size(filter(spans, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS[4:]],
+        F.expr("CAST(size(filter(spans, x -> x.kind <> 'url')) AS BIGINT)").alias("n_private"),
     )
