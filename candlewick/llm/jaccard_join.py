@@ -1,9 +1,10 @@
 r"""Exact n-gram Jaccard self-join by a token-group matrix.
 
 A document's tokens are the 64-bit hashes of its distinct word n-grams; equal sets are one node. Similar nodes are
-partitioned into groups of about GROUP; the matrix has a row per group, the union of its nodes' tokens. A node's
-overlap with a group's union bounds its overlap with each node in it, and only groups that reach the threshold are
-opened and compared node by node.
+partitioned into groups; the matrix has a row per group: the union of its nodes' tokens and its nodes' own, as counts by
+ranges of token space (a byte a range, a range for every one or two tokens). The sum of the lesser counts bounds a
+node's overlap with a union, and so with each node under it. Only groups that reach the threshold are opened: the
+tokens of the nodes that reach each other are made from their texts, sent to the group and compared.
 
 Which groups a node is held against comes from signatures that no link can miss. Two sets of which the smaller has s
 tokens and that link differ in at most k = s (1 - t) / t tokens. Token space is cut into somewhat over k ranges; of a
@@ -13,14 +14,16 @@ non-empty ranges sign again under further seeds, the last time with empty ranges
 nodes, as a passage in many documents makes, is left out by each set that has over k others: of these too at least one
 is equal in any set that it links with.
 
-Passes: (1) id and node of every document; (2) signatures, packed by reducer, of which those that differing nodes
-share are kept; (3) tokens of these nodes, compared within their groups, which gives components; (4) for signatures
-that still span several components, groups dealt anew by component are held against each other: nodes by bound, then by node. Links only
-join components: no group or bucket gives all its pairs, and what is joined already is not compared again.
+Passes: (1) id, node and counts of every document; (2) signatures, packed by reducer, of which those that differing
+nodes share are kept; (3) groups by least similar node, each held against itself, which gives components; (4) for
+signatures that still span several components, groups dealt anew by component, and the smaller of two that meet asks
+the larger. Links only join components: no group or bucket gives all its pairs, what is joined already isn't compared
+again, and what travels for a candidate is its counts, not its tokens.
 
 Defined results: null and empty texts have no tokens and link with nothing; equal texts are one node, however many;
 ids may repeat or be null (a component's id is its least id that isn't null); ties go to the least. Extra columns are
-ignored. An empty table gives no rows. Tokens are compared by their 64-bit hashes.
+ignored. An empty table gives no rows. A very long text is read whole; its counts take a tenth of its size. Tokens are
+compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,11 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm._shared import Scratch, alnum_words, grams, hashes, mixed, spaced_words, table
+from candlewick.storage import free_name
 from candlewick.llm.components import components
 
 GROUP = 64
-#: Nodes whose ids (16 bytes each) may be broadcast to fetch their texts; beyond, the texts are joined by shuffle.
-MOST_BROADCAST = 1_000_000
+#: Nodes (their ids, digests and groups: about 150 bytes each in Spark's hashed form) that may be broadcast to fetch their
+#: texts; beyond, the texts are joined by shuffle.
+MOST_BROADCAST = 250_000
 #: A level's largest size over its smallest.
 LEVEL = 1.6
 SEEDS = 3
@@ -47,9 +52,8 @@ SEEDS = 3
 MANY = 8
 #: Nodes of a group in pass 4, where larger groups meet less often.
 REGROUP = 256
-#: Groups that are held against another at once, and sets that are compared at once.
-ASKING = 8
-QUERIES = 256
+#: Nodes that ask a group at once.
+ASKING = 512
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,14 +130,52 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "little", signed=True)
 
 
+def counted(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by equal ranges of token space, somewhat fewer ranges than tokens, up to 255 in each."""
+    bits = max(5, (len(tokens) - 1).bit_length() - 1)
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """Rows of counts by fewer ranges."""
+    if counts.shape[1] == width:
+        return counts
+    return np.minimum(counts.reshape(len(counts), width, -1).sum(axis=2, dtype=np.int64), 255).astype(np.uint8)
+
+
+def reaching(measure: Measure, a: list[np.ndarray], sizes_a: np.ndarray, b: list[np.ndarray], sizes_b: np.ndarray) -> np.ndarray:
+    """Which sets of a may link with which of b, by their counts and sizes: never misses a link."""
+    out = measure.links(np.minimum(sizes_a[:, None], sizes_b[None, :]), sizes_a[:, None], sizes_b[None, :])
+    widths_a, widths_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    for wa in np.unique(widths_a):
+        for wb in np.unique(widths_b):
+            at, to = np.flatnonzero(widths_a == wa), np.flatnonzero(widths_b == wb)
+            if not out[np.ix_(at, to)].any():
+                continue
+            x, y = (_folded(np.stack([sets[i] for i in some]), min(wa, wb)) for sets, some in ((a, at), (b, to)))
+            for i, row in zip(at, x):
+                some = to[out[i, to]]
+                if len(some):
+                    # a full range may hold any number
+                    near = np.minimum(row, y[out[i, to]])
+                    inter = near.sum(axis=1, dtype=np.int64) if near.max() < 255 else np.where(near.max(axis=1) < 255, near.sum(axis=1, dtype=np.int64), sizes_b[some])
+                    out[i, some] = measure.links(np.minimum(inter, sizes_b[some]), sizes_a[i], sizes_b[some])
+    return out
+
+
+NAMED = "doc_id long, n_shingles long, node binary, h long, counts binary"
+
+
 def _named(measure: Measure):
-    """Pass 1: id, set size and node."""
+    """Pass 1: id, set size, node and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [measure.tokens(x.as_py()) for x in batch.column(1)]
             nodes = [_digest(x) if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and _short(x) for x in nodes], pa.int64())], names=["doc_id", "n_shingles", "node", "h"])
+            counts = [counted(x).tobytes() if len(x) else None for x in sets]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and _short(x) for x in nodes], pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "h", "counts"])
 
     return run
 
@@ -229,8 +271,8 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _within(measure: Measure):
-    """Pass 3: joins the nodes of a group that link, each to the least node of its component."""
+def _compared(measure: Measure):
+    """Joins the nodes of an opened group that link, each to the least node of its component."""
 
     def run(rows: pa.Table) -> pa.Table:
         members = dict(zip(rows.column("node").to_pylist(), _sets(rows.column("tokens"))))
@@ -254,39 +296,92 @@ def _within(measure: Measure):
     return run
 
 
-def _opened(measure: Measure):
-    """Pass 4: holds nodes against the token union of a group, opens it for those that reach the bound, and links components."""
-
-    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
-        links: set[tuple[bytes, bytes]] = set()
-        asked = {n: (r, t) for n, r, t in zip(queries.column("node").to_pylist(), queries.column("root").to_pylist(), _sets(queries.column("tokens")))}
-        inside = {n: (r, t) for n, r, t in zip(members.column("member").to_pylist(), members.column("of").to_pylist(), _sets(members.column("own")))}
-        if asked and inside:
-            union = np.unique(np.concatenate([t for _, t in inside.values()]))
-            # a set that links with one in the group has at least the threshold's share of its tokens in the union
-            reached = [(r, t) for r, t in asked.values() if measure.den * int((union[np.minimum(np.searchsorted(union, t), len(union) - 1)] == t).sum()) >= measure.num * len(t)]
-            known = list(inside.values())
-            for start in range(0, len(reached), QUERIES):
-                some = reached[start : start + QUERIES]
-                sizes = [np.array([len(t) for _, t in x]) for x in (some, known)]
-                linked = measure.links(_overlaps([t for _, t in some], [t for _, t in known]), sizes[0][:, None], sizes[1][None, :])
-                links.update((some[i][0], known[j][0]) for i, j in zip(*np.nonzero(linked)) if some[i][0] != known[j][0])
-        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], schema=LINKS)
+MATRIX = "g long, nodes array<binary>, roots array<binary>, sizes array<long>, counts array<binary>, widths array<int>, unions array<binary>"
+
+
+def _row(key: tuple, rows: pa.Table) -> pa.Table:
+    """A group's row of the matrix: its nodes and their counts, and for each number of ranges that these have the union's."""
+    counts = [np.frombuffer(x, np.uint8) for x in rows.column("counts").to_pylist()]
+    unions: dict[int, np.ndarray] = {}
+    for x in counts:
+        unions[len(x)] = np.maximum(unions[len(x)], x) if len(x) in unions else x
+    values = [key[0].as_py(), *(rows.column(c).to_pylist() for c in ("node", "root", "n", "counts")), list(unions), [x.tobytes() for x in unions.values()]]
+    kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+    return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names=["g", "nodes", "roots", "sizes", "counts", "widths", "unions"])
+
+
+def _own(measure: Measure):
+    """Pass 3: the nodes of a group that may link with another node of it."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        nodes, sizes = rows.column("node").to_pylist(), rows.column("n").to_numpy()
+        counts = [np.frombuffer(x, np.uint8) for x in rows.column("counts").to_pylist()]
+        near = [nodes[i] for i in np.flatnonzero(reaching(measure, counts, sizes, counts, sizes).sum(axis=1) > 1)]
+        return pa.table([pa.array([key[0].as_py()] * len(near), pa.int64()), pa.array(near, pa.binary())], names=["g", "node"])
+
+    return run
+
+
+def _asked(measure: Measure):
+    """Pass 4: bounds the overlap of nodes with a group's union, then with its nodes, and gives those of either that may link."""
+
+    def run(key: tuple, queries: pa.Table, group: pa.Table) -> pa.Table:
+        found: set[bytes] = set()
+        if queries.num_rows and group.num_rows:
+            row = group.to_pylist()[0]
+            nodes, roots, sizes, counts = row["nodes"], row["roots"], np.array(row["sizes"]), [np.frombuffer(x, np.uint8) for x in row["counts"]]
+            asking, own, n = queries.column("node").to_pylist(), queries.column("root").to_pylist(), queries.column("n").to_numpy()
+            sets = [np.frombuffer(x, np.uint8) for x in queries.column("counts").to_pylist()]
+            unions = [np.frombuffer(x, np.uint8) for x in row["unions"]]
+            # a linked node is under the union of its own width; of the sizes there the one nearest to the overlap asks least
+            reached = np.zeros(len(sets), bool)
+            for union, width in zip(unions, row["widths"]):
+                under = sizes[[len(c) == width for c in counts]]
+                for w in {len(x) for x in sets}:
+                    at = np.flatnonzero([len(x) == w for x in sets])
+                    small = min(w, width)
+                    near = np.minimum(_folded(np.stack([sets[i] for i in at]), small), _folded(union[None, :], small))
+                    inter = np.where(near.max(axis=1) < 255, np.minimum(near.sum(axis=1, dtype=np.int64), n[at]), n[at])
+                    least = np.clip(inter, under.min(), under.max())
+                    reached[at] |= measure.links(np.minimum(inter, least), n[at], least)
+            some = np.flatnonzero(reached)
+            if len(some):
+                near = reaching(measure, [sets[i] for i in some], n[some], counts, sizes)
+                for i, j in zip(*np.nonzero(near)):
+                    if own[some[i]] != roots[j]:
+                        found |= {asking[some[i]], nodes[j]}
+        out = sorted(found)
+        at = [k.as_py() for k in key]
+        return pa.table([pa.array([at[0]] * len(out), pa.int64()), pa.array([at[1]] * len(out), pa.int64()), pa.array(out, pa.binary())], names=["to", "block", "node"])
 
     return run
 
 
 def _tokens_of(measure: Measure):
+    """Of text, node and groups: a row with the node's tokens for each group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [measure.tokens(x.as_py()) for x in batch.column(0)]
-            right = pa.array([len(x) > 0 and _digest(x) == node for x, node in zip(sets, batch.column(1).to_pylist())])
-            made = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "g1", "g2", "tokens"])
-            yield made.filter(right)
+            out = []
+            for text, node, groups in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                tokens = measure.tokens(text.as_py())
+                if len(tokens) and _digest(tokens) == node:
+                    out += [(g, node, tokens.tobytes()) for g in groups]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["g", "node", "tokens"])
 
     return run
 
 
+def _opened(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) in opened groups. wanted: g, node and rep, the id of a document of the node."""
+    fetched = wanted.groupBy("node", "rep").agg(F.collect_set("g").alias("groups"))
+    if wanted.count() <= MOST_BROADCAST:
+        fetched = F.broadcast(fetched)
+    texts = docs.join(fetched, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "groups")
+    sets = texts.mapInArrow(_tokens_of(measure), "g long, node binary, tokens binary")
+    return sets.groupBy("g").applyInArrow(_compared(measure), "a binary, b binary")
+
+
 def _spread(column: str, groups: str) -> str:
     return f"pmod(xxhash64({column}), {groups})"
 
@@ -296,7 +391,7 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = scratch.keep(docs.mapInArrow(_named(measure), "doc_id long, n_shingles long, node binary, h long"), "named")
+    named = scratch.keep(docs.mapInArrow(_named(measure), NAMED), "named")
     reps = named.where("node IS NOT NULL").groupBy("node", "h").agg(F.min("doc_id").alias("rep"))
 
     reducers = 4 * docs.rdd.getNumPartitions()
@@ -306,6 +401,7 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     many = found.where("many")
     needed = many.groupBy("h", "level").agg(F.count("*").alias("n"), F.max("spare").alias("s")).where("n > s").select("h", "level")
     shared = scratch.keep(found.where("NOT many").unionByName(many.join(needed, ["h", "level"]).select(*found.columns)).select("sig", "h", "lead"), "shared")
+    scratch.drop("found")
 
     # groups: nodes with the same lead, split by hash into about GROUP; in two ways where there are several
     leads = shared.groupBy("h").agg(F.min("lead").alias("lead"))
@@ -317,48 +413,52 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
         F.expr(f"IF(parts > 1, xxhash64(lead, {_spread('h, 1', 'parts')}, 1), NULL)").alias("g2"),
     )
     members = scratch.keep(reps.join(dealt, "h").select("node", "h", "rep", "lead", "g1", "g2"), "members")
-    fetched = members.select("node", "rep", "g1", "g2")
-    if members.count() <= MOST_BROADCAST:
-        fetched = F.broadcast(fetched)
-    texts = docs.join(fetched, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "g1", "g2")
-    sets = scratch.keep(texts.mapInArrow(_tokens_of(measure), "node binary, g1 long, g2 long, tokens binary"), "sets")
+    counted_ = named.select(F.col("doc_id").alias("rep"), F.col("node").alias("of"), F.col("n_shingles").alias("n"), "counts")
+    same = members["rep"].eqNullSafe(counted_["rep"]) & (F.col("node") == F.col("of"))
+    # a node's counts once, whichever of its rows they come from
+    counts = scratch.keep(members.join(counted_, same).select("node", members["rep"], "g1", "g2", "n", "counts").dropDuplicates(["node"]), "counts")
 
-    grouped = sets.select(F.explode(F.expr("filter(array(g1, g2), x -> x IS NOT NULL)")).alias("g"), "node", "tokens")
-    within = components(grouped.groupBy("g").applyInArrow(_within(measure), "a binary, b binary"), scratch, "within")
+    grouped = counts.select(F.explode(F.expr("filter(array(g1, g2), x -> x IS NOT NULL)")).alias("g"), "node", "n", "counts")
+    near = scratch.keep(grouped.groupBy("g").applyInArrow(_own(measure), "g long, node binary"), "near")
+    within = components(_opened(docs, near.join(members.select("node", "rep"), "node"), measure), scratch, "within")
 
     # groups anew: large components by themselves, small ones whole, so that a group spans few components
     labelled = members.join(within, "node", "left").select("node", "h", "lead", F.coalesce("root", "node").alias("root"))
-    counts = labelled.groupBy("lead", "root").agg(F.count("*").alias("n"))
-    small = counts.where(f"n < {REGROUP}").groupBy("lead").agg(F.ceil(F.sum("n") / REGROUP).alias("parts"))
-    placed = counts.join(small, "lead", "left").selectExpr("lead", "root", f"IF(n < {REGROUP}, NULL, ceil(n / {REGROUP})) AS own", "coalesce(parts, 1) AS parts")
+    per = labelled.groupBy("lead", "root").agg(F.count("*").alias("n"))
+    small = per.where(f"n < {REGROUP}").groupBy("lead").agg(F.ceil(F.sum("n") / REGROUP).alias("parts"))
+    placed = per.join(small, "lead", "left").selectExpr("lead", "root", f"IF(n < {REGROUP}, NULL, ceil(n / {REGROUP})) AS own", "coalesce(parts, 1) AS parts")
     group = f"IF(own IS NULL, xxhash64(lead, {_spread('root', 'parts')}), xxhash64(lead, root, {_spread('h', 'own')}))"
     regrouped = scratch.keep(labelled.join(placed, ["lead", "root"]).select("node", "h", "root", F.expr(group).alias("g")), "regrouped")
 
-    # the components that a signature has in a group, and pairs of groups between which they differ
-    spans = scratch.keep(shared.select("sig", "h").join(regrouped, "h").groupBy("sig", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "spans")
-    several = spans.groupBy("sig").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l <> u").select("sig")
-    spans = spans.join(several, "sig")
-    others = spans.select("sig", F.col("g").alias("to"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    asked = scratch.keep(spans.join(others, "sig").where("g <= to AND (lo <> lo2 OR hi <> hi2 OR lo <> hi)").select("g", "to").distinct(), "asked")
-    scratch.drop("found", "shared", "spans")
+    # signatures that span components, and which groups each of them has
+    placed = shared.select("sig", "h").join(regrouped.select("h", "node", "root", "g"), "h")
+    several = placed.groupBy("sig").agg(F.min("root").alias("l"), F.max("root").alias("u")).where("l <> u").select("sig")
+    spans = scratch.keep(placed.join(several, "sig").select("sig", "g", "node", "root"), "spans")
+    of_group = regrouped.groupBy("g").agg(F.count("*").alias("m"))
+    per_sig = spans.groupBy("sig", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(of_group, "g")
+    asking = spans.join(of_group, "g").select("sig", "node", "root", "m", F.col("g").alias("own"))
+    to = per_sig.select("sig", F.col("g").alias("to"), "lo", "hi", F.col("m").alias("size"))
+    # the smaller of two groups asks the larger, about which a node only asks if it has other components
+    meets = "(m < size OR m = size AND own <= to) AND (root <> lo OR root <> hi)"
+    asked = scratch.keep(asking.join(to, "sig").where(meets).select("node", "root", "to").distinct(), "asked")
+    scratch.drop("shared", "spans")
     if asked.isEmpty():
         roots = within
     else:
-        tokens = scratch.keep(sets.select("node", "tokens").join(regrouped.select("node", "root", "g"), "node"), "tokens")
-        scratch.drop("sets")
+        matrix = regrouped.select("node", "root", "g").join(counts.select("node", "n", "counts"), "node").groupBy("g").applyInArrow(_row, MATRIX)
         blocks = asked.groupBy("to").agg(F.ceil(F.count("*") / ASKING).alias("blocks"))
-        asking = asked.join(blocks, "to").withColumn("block", F.expr(_spread("g", "blocks"))).join(tokens, "g").select("to", "block", "node", "root", "tokens")
+        queries = asked.join(blocks, "to").withColumn("block", F.expr(_spread("node", "blocks"))).join(counts.select("node", "n", "counts"), "node").select("to", "block", "node", "root", "n", "counts")
         # under names of its own, as both sides come from the same tables
-        opened = tokens.join(blocks, F.col("g") == F.col("to")).select(
-            F.col("to").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.col("node").alias("member"), F.col("root").alias("of"), F.col("tokens").alias("own")
-        )
-        across = asking.groupBy("to", "block").cogroup(opened.groupBy("at", "b")).applyInArrow(_opened(measure), "a binary, b binary")
+        opened = matrix.join(blocks.select(F.col("to").alias("g"), "blocks"), "g").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        reached = queries.groupBy("to", "block").cogroup(opened.groupBy("g", "b")).applyInArrow(_asked(measure), "to long, block long, node binary")
+        reached = scratch.keep(reached.select(F.xxhash64("to", "block").alias("g"), "node"), "reached")
+        across = _opened(docs, reached.join(members.select("node", "rep"), "node"), measure)
         roots = components(within.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across), scratch, "across")
 
     of = members.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
     joined = scratch.keep(of.join(least, "root").select("node", "component_id"), "joined")
-    scratch.drop("members", "sets", "regrouped", "asked", "tokens")
+    scratch.drop("members", "counts", "near", "regrouped", "asked", "reached")
     final = reps.join(joined, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     return named.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -372,7 +472,7 @@ def one_of_each(docs: DataFrame, measure: Measure) -> DataFrame:
 
     Where ids repeat or are null, rows are numbered, and the first row of a class stays.
     """
-    key = "__class_key"
+    key = free_name(docs.columns, "class_key")
     unique = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
     if unique:
         keyed = docs.withColumn(key, F.col("doc_id"))

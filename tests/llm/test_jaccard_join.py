@@ -24,6 +24,41 @@ def test_linked_sets_share_a_signature(num, den):
             assert any(sum(lv == w for w, _ in shared) > spare for lv, spare in shared)
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2)])
+def test_counts_never_miss_a_link(num, den):
+    rng, measure = np.random.default_rng(8), j.Measure(3, num, den)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**64, int(rng.integers(1, 500)), dtype=np.uint64)
+        if rng.random() < 0.2:  # many in one range of token space
+            base = base >> np.uint64(int(rng.integers(1, 30)))
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.3], rng.integers(0, 2**64, int(rng.integers(0, 1 + len(base) // 8)), dtype=np.uint64)])) for _ in range(4)]
+    sets = [x for x in sets if len(x)]
+    sizes, counts = np.array([len(x) for x in sets]), [j.counted(x) for x in sets]
+    inter = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    linked = measure.links(inter, sizes[:, None], sizes[None, :])
+    near = j.reaching(measure, counts, sizes, counts, sizes)
+    assert not (linked & ~near).any() and near.sum() < 0.3 * near.size
+    assert (j._overlaps(sets, sets) == inter).all()
+
+
+def test_a_group_is_only_passed_over_if_no_node_links(spark):
+    import pyarrow as pa
+
+    rng, measure = np.random.default_rng(3), j.Measure(3, 80, 100)
+    for _ in range(40):
+        base = rng.integers(0, 2**64, int(rng.integers(10, 300)), dtype=np.uint64)
+        near = lambda: np.unique(np.concatenate([base[rng.random(len(base)) > 0.12], rng.integers(0, 2**64, 3, dtype=np.uint64)]))  # noqa: B023, E731
+        members, asking = [near() for _ in range(5)], [near() for _ in range(4)] + [rng.integers(0, 2**64, 50, dtype=np.uint64)]
+        frame = lambda sets, at: pa.table({"node": [bytes([at, k]) for k in range(len(sets))], "root": [bytes([at, k]) for k in range(len(sets))], "n": [len(x) for x in sets], "counts": [j.counted(x).tobytes() for x in sets]})
+        row = j._row((pa.scalar(7),), frame(members, 0))
+        found = set(j._asked(measure)((pa.scalar(7), pa.scalar(0)), frame(asking, 1), row).column("node").to_pylist())
+        for a, x in enumerate(asking):
+            for b, y in enumerate(members):
+                if measure.links(len(np.intersect1d(x, y)), len(x), len(y)):
+                    assert {bytes([1, a]), bytes([0, b])} <= found
+
+
 def brute(texts, n, num, den, split=None):
     import re
 
