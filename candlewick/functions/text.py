@@ -1,7 +1,9 @@
-"""Column functions over text: stripping, sentences, headings, labels. All run inside the JVM."""
+"""Column functions over text: stripping, sentences, headings, labels. All run inside the JVM but split_sentences()."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
+_CUTS = re.compile(rf"(?<=[{SENTENCE_END}])\s+|\n{{2,}}")
+
+
+def split_sentences(text: str) -> list[str]:
+    """sentences() for one text, in Python."""
+    return [x for x in (part.strip() for part in _CUTS.split(text)) if x]
+
+
+def required(text: Column, what: str = "text") -> Column:
+    """The text; a blank one raises."""
+    return F.when(is_blank(text), F.raise_error(F.lit(f"{what} is blank"))).otherwise(text)
+
+
 def looks_like_heading(line: Column) -> Column:
     """A short line that numbers a chapter, is numbered and capitalised, or is some words of capitals."""
 
@@ -69,5 +84,9 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(?<=[^.])(\.[^./]*)$", 1))
 
 
+#: What an answer says where nothing was found.
+NO_RESULT = "Nothing relevant to that question was found in the index."
+
+
 def rendered(rank: Column, label: Column, score: Column, text: Column) -> Column:
     return F.concat(F.format_string("#%d — %s · similarity %.3f\n", rank, label, score), text)

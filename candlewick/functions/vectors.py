@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ def clamped(score: Column) -> Column:
     return F.when(F.isnan(score), score).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
 
 
+def checked(score: Column, slack: float | None = None) -> Column:
+    """clamped(), but raises for a score that is no number, and given a slack for one farther than that from -1 to 1."""
+    wrong = F.isnan(score) if slack is None else F.isnan(score) | (F.abs(score) > 1 + slack)
+    return F.when(wrong, F.raise_error(F.concat(F.lit("a score is out of range: "), score.cast("string")))).otherwise(clamped(score))
+
+
 def percentile(ordered: Column, share: float) -> Column:
     """The percentile of an ordered array by linear interpolation between its neighbours; share from 0 to 1."""
     at = F.lit(float(share)) * (F.size(ordered) - 1)
@@ -46,6 +53,22 @@ class Embedder:
 
     name = "embedder"
 
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """Unit vectors of the texts, a row each, computed where it is called. No texts, or a model that fails, raise."""
+        if not texts:
+            raise EmbeddingError("there are no texts to encode")
+        try:
+            m = np.asarray(self.raw(texts), dtype="float64")
+        except Exception as e:
+            raise EmbeddingError(f"{type(e).__name__}: {e}") from e
+        m = m.reshape(1, -1) if m.ndim == 1 else m
+        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(norms > 0, norms, 1)
+
+    def raw(self, texts: list[str]):
+        """A matrix for some texts, of any length."""
+        raise NotImplementedError
+
     def vector(self, text: Column) -> Column:
         raise NotImplementedError
 
@@ -70,9 +93,13 @@ class KeywordEmbedder(Embedder):
 
         return unit(let(F.lower(text), counted))
 
+    def raw(self, texts: list[str]):
+        lowered = [x.lower() for x in texts]
+        return [[*(sum(w in low for w in words) for words in self.topics), len(x) * self.length_weight] for x, low in zip(texts, lowered)]
+
 
 class LookupEmbedder(Embedder):
-    """Vectors of known texts; others are null. For small fixed vocabularies."""
+    """Vectors of known texts; others are null, or an error in encode(). For small fixed vocabularies."""
 
     def __init__(self, known: dict[str, Sequence[float]], name: str = "lookup"):
         self.known, self.name = known, name
@@ -83,6 +110,9 @@ class LookupEmbedder(Embedder):
         pairs = [x for k, v in self.known.items() for x in (F.lit(k), F.array(*[F.lit(float(y)) for y in v]))]
         return unit(F.element_at(F.create_map(*pairs), text))
 
+    def raw(self, texts: list[str]):
+        return [self.known[x] for x in texts]
+
 
 class ModelEmbedder(Embedder):
     """A model with encode(list of texts) that gives a matrix, run in Arrow batches; load is called once a worker."""
@@ -90,29 +120,24 @@ class ModelEmbedder(Embedder):
     native = False
 
     def __init__(self, load: Callable[[], object], name: str):
-        self.load, self.name = load, name
+        self.load, self.name, self.model = load, name, None
 
-    def _udf(self):
-        load, cache = self.load, {}
+    def __getstate__(self):
+        return {"load": self.load, "name": self.name, "model": None}
 
-        def encoded(texts: list[str]) -> list[list[float]]:
-            import numpy as np
+    def raw(self, texts: list[str]):
+        if self.model is None:
+            self.model = self.load()
+        return self.model.encode(texts)
 
-            try:
-                if "model" not in cache:
-                    cache["model"] = load()
-                m = np.asarray(cache["model"].encode(texts), dtype="float64")
-            except Exception as e:
-                raise EmbeddingError(str(e)) from e
-            m = m.reshape(1, -1) if m.ndim == 1 else m
-            norms = np.linalg.norm(m, axis=1, keepdims=True)
-            return (m / np.where(norms > 0, norms, 1)).tolist()
+    def _udf(self):
+        encode = self.encode
 
         @F.pandas_udf(T.ArrayType(VECTOR))
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
                 flat = [x for texts in batch if texts is not None for x in texts]
-                found = iter(encoded(flat) if flat else [])
+                found = iter(encode(flat).tolist() if flat else [])
                 yield pd.Series([None if texts is None else [next(found) for _ in texts] for texts in batch], index=batch.index, dtype=object)
 
         return run

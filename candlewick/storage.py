@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """A column name that columns don't have, whatever their case."""
+    taken = {c.lower() for c in columns}
+    return next(x for x in (f"{stem}{k or ''}" for k in range(len(columns) + 1)) if x not in taken)
+
+
 #: Makes Spark remove an execution's shuffle files at its end.
 _REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
