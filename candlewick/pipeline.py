@@ -32,7 +32,7 @@ class RetrievalPipeline:
         return number(self.chunker.chunk(blocks), ["file_pos", "block_pos", "chunk_pos"])
 
     def build_index(self, blocks: DataFrame) -> DataFrame:
-        self.index.build(self.chunk(blocks))
+        self.index.build(self.chunk(blocks), numbered=True)
         return self.stats()
 
     def build_index_from_files(self, paths: list[str]) -> DataFrame:

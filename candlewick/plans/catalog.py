@@ -92,7 +92,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     index = VectorIndex(spark, EMBEDDER)
-    index.build(_chunks(spark, sf_dir))
+    index.build(_chunks(spark, sf_dir), numbered=True)
     return index
 
 
@@ -240,6 +240,22 @@ def incremental_add(spark, sf_dir):
     return index.rows.select("pos", "chunk_id", "source_file")
 
 
+@query(ORACLES["incremental_add"])
+def index_grow(spark, sf_dir):
+    """Built, saved, loaded, grown and saved again into the same folder."""
+    rows = _blocks(spark, sf_dir).where(~ft.is_blank(F.col("text"))).withColumnRenamed("doc_id", "chunk_id")
+    folder = Scratch(spark, "grown").at
+    for k in (0, 1):
+        index = VectorIndex(spark, EMBEDDER)
+        if k:
+            index.load(folder)
+        index.add(rows.where(F.col("chunk_id") % 2 == k))
+        index.save(folder)
+    again = VectorIndex(spark, EMBEDDER)
+    again.load(folder)
+    return again.rows.select("pos", "chunk_id", "source_file")
+
+
 _ASKED = f"q AS (SELECT {_unit('w')} AS q FROM (SELECT {_raw(chr(39) + QUESTION + chr(39))} AS w))"
 _TOP = f"{_ASKED}, p AS (SELECT pos, source, text, {_dot('v', 'q')} AS score FROM ix, q ORDER BY round(score, 12) DESC, pos LIMIT 5)"
 
@@ -271,7 +287,8 @@ def answer_render(spark, sf_dir):
     found = _index(spark, sf_dir).search(QUESTION, 5)
     ordered = F.array_sort(F.collect_list(F.struct((-F.round("score", 12)).alias("s"), "pos", "source_file", "score", "text")))
     lines = F.transform(ordered, lambda x, i: ft.rendered((i + 1).cast("int"), x.source_file, x.score, x.text))
-    return found.agg(F.array_join(lines, "\n").alias("answer"))
+    answer = F.array_join(lines, "\n")
+    return found.agg(F.when(F.count("*") == 0, ft.NO_RESULT).otherwise(answer).alias("answer"))
 
 
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT count(*) AS total_chunks, count(DISTINCT source) AS total_source_files, array_to_string(list_sort(list(DISTINCT source)), ',') AS source_files FROM n")

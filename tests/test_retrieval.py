@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick import errors
-from candlewick.functions.vectors import KeywordEmbedder, LookupEmbedder, ModelEmbedder, clamped, percentile, unit
+from candlewick.functions.text import required, sentences, split_sentences
+from candlewick.functions.vectors import KeywordEmbedder, LookupEmbedder, ModelEmbedder, checked, clamped, percentile, unit
 from candlewick.operators.chunk import Chunker, number
 from candlewick.operators.retrieve import Retriever, VectorIndex, nearest, nearest_many
 from candlewick.operators.segment import segment
@@ -117,6 +118,42 @@ def test_model_embedder_gives_unit_vectors(spark):
     assert [r.v for r in spark.createDataFrame([("ab",), ("c",)], "t string").select(e.vector(F.col("t")).alias("v")).collect()] == [pytest.approx([0.6, 0.8])] * 2
     text = "One here. Two here. Three here."
     assert [r.text for r in Chunker(e, 5, 1000).chunk(blocks(spark, [text])).collect()] == [text]
+    assert ModelEmbedder(lambda: type("One", (), {"encode": lambda self, x: [3.0, 4.0]})(), "flat").encode(["a"]).tolist() == [pytest.approx([0.6, 0.8])]
+
+
+def test_encoding_nothing_and_models_that_fail_raise(spark):
+    def absent():
+        raise ImportError("no such model")
+
+    for e in (EMBEDDER, ModelEmbedder(absent, "absent")):
+        with pytest.raises(errors.EmbeddingError, match="no texts"):
+            e.encode([])
+    with pytest.raises(errors.EmbeddingError, match="no such model"):
+        ModelEmbedder(absent, "absent").encode(["a"])
+    with pytest.raises(errors.EmbeddingError):
+        LookupEmbedder({"a": [1.0]}).encode(["b"])
+    for made in (lambda e: blocks(spark, ["One here. Two here."]).select(e.vector(F.col("text"))), lambda e: Chunker(e).chunk(blocks(spark, ["One here. Two here."]))):
+        with pytest.raises(Exception, match="EmbeddingError.*no such model"):
+            made(ModelEmbedder(absent, "absent")).collect()
+
+
+def test_local_and_column_forms_agree(spark):
+    random.seed(4)
+    parts = ["Force", " mass", ". ", "!\n", "\n\n", "\u0964 ", " \x1c", "é", "\xa0", "HEAT", "? ", "\u3000", "cell."]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(20))) for _ in range(300)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for r in df.select("k", sentences(F.col("t")).alias("s"), EMBEDDER.vector(F.col("t")).alias("v")).collect():
+        assert r.s == split_sentences(texts[r.k]) and r.v == pytest.approx(EMBEDDER.encode([texts[r.k]])[0].tolist())
+
+
+def test_long_blocks_are_embedded_in_parts(spark, monkeypatch):
+    import candlewick.operators.chunk as c
+
+    random.seed(6)
+    texts = [" ".join(random.choice(["Force and mass.", "The heat is on.", "A cell!", "Of genes and proteins?"]) for _ in range(n)) for n in (90, 1, 2, 37, 500)]
+    whole = Chunker(EMBEDDER, 20, 200).texts(texts)
+    monkeypatch.setattr(c, "SENTENCES", 16)
+    assert Chunker(EMBEDDER, 20, 200).texts(texts) == whole and [len(x) for x in whole][1] == 1
 
 
 CHUNKS = "text string, source_file string, heading string, page_number int, chunk_id long"
@@ -173,9 +210,53 @@ def test_save_and_load(spark, index, tmp_path, caplog):
     assert again.count == 3
 
 
+def test_an_index_grows_in_its_folder(spark, index, tmp_path):
+    folder = str(tmp_path / "i")
+    index.save(folder)
+    reader = VectorIndex(spark, EMBEDDER)
+    reader.load(folder)
+    for k in range(3):
+        grown = VectorIndex(spark, EMBEDDER)
+        grown.load(folder)
+        grown.add(spark.createDataFrame([(f"The gene {k} makes a protein.", f"g{k}.pdf", "", None, 0)], CHUNKS))
+        grown.save(folder)
+        grown.save(folder) if k == 1 else None
+        assert grown.rows.count() == grown.count == 4 + k and grown.search("gene protein", 1).first().source_file == "g0.pdf"
+        if not k:
+            assert reader.rows.count() == 3
+    again = VectorIndex(spark, EMBEDDER)
+    again.load(folder)
+    assert sorted((r.pos, r.source_file) for r in again.rows.collect())[3:] == [(3, "g0.pdf"), (4, "g1.pdf"), (5, "g2.pdf")]
+    assert len(list((tmp_path / "i").glob("chunks-*"))) == 2
+    # a version that wasn't completed, and a broken meta.json, leave the last complete one
+    (tmp_path / "i" / "chunks-000099").mkdir()
+    (tmp_path / "i" / "meta.json").write_text("{")
+    again.load(folder)
+    assert again.count == 6
+
+
 def test_ties_and_nan(spark):
     rows = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [float("nan"), 0.0])], "pos long, vector array<double>")
-    assert [r.pos for r in nearest(rows, [1.0, 0.0], 2).collect()] == [1, 3]
+    known = rows.where("pos < 4").unionByName(spark.createDataFrame([(0, None)], rows.schema))
+    assert [r.pos for r in nearest(known, [1.0, 0.0], 2).collect()] == [1, 3] and nearest(known, [1.0, 0.0], 9).count() == 3
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, vector array<double>")
+    assert [(r.query_id, r.pos) for r in nearest_many(known, asked, 2).orderBy("rank").collect()] == [(7, 1), (7, 3)]
+    for found in (nearest(rows, [1.0, 0.0], 2), nearest_many(rows, asked, 2), rows.select(checked(F.lit(1.2), 0.0001))):
+        with pytest.raises(Exception, match="score"):
+            found.collect()
+    with pytest.raises(Exception, match="text is blank"):
+        VectorIndex(spark, EMBEDDER).build(spark.createDataFrame([(" ", "f", "", None, 0)], CHUNKS))
+    with pytest.raises(Exception, match="text is blank"):
+        spark.range(1).select(required(F.lit(None).cast("string"))).collect()
+    assert spark.range(1).select(required(F.lit("a"))).first()[0] == "a"
+
+
+def test_ten_thousand_questions_take_one_scan(spark):
+    rows = spark.range(50).selectExpr("id AS pos", "array(CAST(id AS DOUBLE) / 50, 0D) AS vector")
+    asked = spark.range(10_000).selectExpr("id AS query_id", "array(1D, 0D) AS vector")
+    found = nearest_many(rows, asked, 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == 30_000 and {r.pos for r in found.where("rank = 1").collect()} == {49}
 
 
 def test_many_questions_equal_one_by_one(spark):
