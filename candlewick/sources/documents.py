@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import logging
+import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from candlewick.errors import EmptyDocumentError, UnsupportedFileTypeError
 from candlewick.functions.text import basename, looks_like_heading, strip
 from candlewick.operators.segment import segment
 from candlewick.sources import pdf
-from candlewick.storage import exists
+from candlewick.storage import Scratch, exists, hadoop_path
 
 log = logging.getLogger(__name__)
 
@@ -52,6 +54,10 @@ def pdf_lines(content: bytes) -> Iterator[Line]:
 READERS: dict[str, Callable[[bytes], Iterable[Line]]] = {".docx": docx_lines, ".pdf": pdf_lines}
 
 
+#: Paths (about 200 bytes each) that may be broadcast to give files their places in the list; beyond, they are joined by shuffle.
+MOST_BROADCAST = 100_000
+
+
 def _extension(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     at = name.rfind(".")
@@ -68,9 +74,29 @@ def routed(spark: SparkSession, paths: list[str], readers: dict = READERS) -> li
     return [_extension(p) for p in paths]
 
 
+def _qualified(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths as Spark's binary reader names them."""
+    _, fs = hadoop_path(spark, ".")
+    root, here = re.sub(r"(?<=:)/+$", "", fs.getUri().toString()).rstrip("/"), fs.getWorkingDirectory().toUri().getPath()
+    out = []
+    for path in paths:
+        scheme, host, rest = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/]*)?(.*)", path, re.S).groups() if "://" in path or re.match(r"\w+:/", path) else (None, None, path)
+        rest = re.sub("/+", "/", rest if rest.startswith("/") else f"{here}/{rest}")
+        own = root if scheme is None or (scheme == root.split(":")[0] and host in (None, "//")) else f"{scheme}:{host if host != '//' else ''}"
+        out.append(own + (rest.rstrip("/") or "/"))
+    return out
+
+
 def read_lines(spark: SparkSession, paths: list[str], readers: dict = READERS) -> DataFrame:
     """file_pos, file, source_file, page, line_no, line, is_heading and error of the files, each read by one task."""
-    routed(spark, paths, readers)
+    at = _qualified(spark, paths)
+    if any(_extension(p) not in readers for p in paths):
+        routed(spark, paths, readers)
+    try:  # Spark looks for all files at once
+        read = spark.read.format("binaryFile").load(sorted(set(at))).select("path", "content")
+    except AnalysisException:
+        routed(spark, paths, readers)
+        raise
     known = {ext: readers[ext] for ext in {_extension(p) for p in paths}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +112,13 @@ def read_lines(spark: SparkSession, paths: list[str], readers: dict = READERS) -
                 rows = rows or [(None, None, None, None)]
                 columns = [[path] * len(rows), *([r[k] for r in rows] for k in range(4)), [error] * len(rows)]
                 types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file", "page", "line_no", "line", "styled", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["at", "page", "line_no", "line", "styled", "error"])
 
-    # one read for each file, so that a file keeps its place in the list even where it comes twice
-    made = None
-    for pos, path in enumerate(paths):
-        one = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, page int, line_no int, line string, styled boolean, error string")
-        one = one.withColumn("file_pos", F.lit(pos)).withColumn("file", F.lit(path))
-        made = one if made is None else made.unionByName(one)
+    # a file that the list has twice keeps both its places
+    places = spark.createDataFrame([(x, pos, path) for pos, (x, path) in enumerate(zip(at, paths))], "at string, file_pos int, file string")
+    if len(paths) <= MOST_BROADCAST:
+        places = F.broadcast(places)
+    made = read.mapInArrow(run, "at string, page int, line_no int, line string, styled boolean, error string").join(places, "at").drop("at")
     return made.withColumns({"source_file": basename(F.col("file")), "is_heading": F.coalesce("styled", looks_like_heading(F.col("line")))}).drop("styled")
 
 
@@ -106,7 +131,7 @@ def blocks_of(lines: DataFrame) -> DataFrame:
 
 def extract(spark: SparkSession, path: str) -> DataFrame:
     """The text blocks of one file; raises if it has none."""
-    blocks = blocks_of(read_lines(spark, [path])).cache()
+    blocks = Scratch(spark, "blocks").keep(blocks_of(read_lines(spark, [path])), "blocks")
     if blocks.isEmpty():
         raise EmptyDocumentError(f"no text in {path}")
     return blocks
@@ -116,8 +141,7 @@ def ingest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The text blocks of the files, in order. Files without text are skipped with a warning; missing and unknown ones raise."""
     if not paths:
         raise EmptyDocumentError("no files are given")
-    lines = read_lines(spark, paths).cache()
-    blocks = blocks_of(lines)
+    blocks = Scratch(spark, "blocks").keep(blocks_of(read_lines(spark, paths)), "blocks")
     found = {r.file_pos for r in blocks.select("file_pos").distinct().collect()}
     for pos, path in enumerate(paths):
         if pos not in found:

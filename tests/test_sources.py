@@ -10,6 +10,7 @@ from candlewick.operators.chunk import Chunker
 from candlewick.pipeline import RetrievalPipeline
 from candlewick.sources import documents as d
 from candlewick.sources import pdf
+from candlewick.operators.retrieve import VectorIndex
 from candlewick.streaming.ingest import BLOCKS, follow
 
 EMBEDDER = KeywordEmbedder((("force", "mass"), ("heat", "entropy"), ("cell", "organism")))
@@ -120,3 +121,54 @@ def test_stream_appends_once(spark, tmp_path):
     for _ in range(2):
         follow(spark, str(tmp_path / "in/*"), str(tmp_path / "index"), Chunker(EMBEDDER), str(tmp_path / "check")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "index/arrived")).count() == 1
+
+
+def test_streamed_chunks_become_searchable(spark, tmp_path):
+    folder = str(tmp_path / "index")
+
+    def arrive(name, text):
+        spark.createDataFrame([(0, 0, name, None, "", text)], BLOCKS).write.parquet(str(tmp_path / "in" / name))
+        follow(spark, str(tmp_path / "in/*"), folder, Chunker(EMBEDDER), str(tmp_path / "check")).awaitTermination(60)
+        made = VectorIndex(spark, EMBEDDER)
+        made.load(folder)
+        return made
+
+    made = arrive("a", "Force moves mass. Heat is not force.")
+    assert [(r.pos, r.source_file) for r in made.rows.collect()] == [(0, "a")]
+    made.save(folder)
+    made = arrive("b", "The cell of an organism.")
+    assert sorted((r.pos, r.source_file) for r in made.rows.collect()) == [(0, "a"), (1, "b")]
+    assert made.search("cell", 1).first().source_file == "b"
+    made.save(folder)
+    assert arrive("c", "A gene.").count == 3
+
+
+def test_many_paths_are_one_read(spark, tmp_path, docx):
+    import time
+
+    for k in range(200):
+        (tmp_path / f"f {k}.md").write_text(f"line {k}")
+    readers = {".md": lambda c: [(None, 0, c.decode(), False)]}
+    paths = [str(tmp_path / f"f {k % 200}.md") for k in range(10_000)]
+    began = time.time()
+    lines = d.read_lines(spark, paths, readers)
+    assert time.time() - began < 60
+    got = lines.groupBy("file_pos").count().count(), {(r.file_pos, r.line, r.source_file) for r in lines.where("file_pos IN (3, 403)").collect()}
+    assert got == (10_000, {(3, "line 3", "f 3.md"), (403, "line 3", "f 3.md")})
+    assert d.read_lines(spark, [f"file://{paths[0]}", f"file:{paths[1]}"], readers).count() == 2
+    with pytest.raises(FileNotFoundError, match="none"):
+        d.read_lines(spark, [paths[0], str(tmp_path / "none.md"), "x.txt"], readers)
+
+
+def test_logging_is_set_up_once(capsys):
+    import logging
+
+    from candlewick.logs import set_up_logging
+
+    log = logging.getLogger("candlewick")
+    try:
+        for level in (logging.INFO, logging.WARNING):
+            assert set_up_logging(level) is log and len(log.handlers) == 1 and log.level == level
+    finally:
+        log.handlers.clear()
+        log.setLevel(logging.NOTSET)
