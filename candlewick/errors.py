@@ -13,6 +13,10 @@ class EmptyDocumentError(CandlewickError):
     """No text could be read from a file, or from any of the given files."""
 
 
+class UnreadableFileError(CandlewickError):
+    """A file can't be opened as what its name says. Files like it count as empty."""
+
+
 class IndexNotBuiltError(CandlewickError):
     """A search or save came before the index was built or loaded."""
 

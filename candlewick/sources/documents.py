@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.errors import EmptyDocumentError, UnsupportedFileTypeError
+from candlewick.errors import EmptyDocumentError, UnreadableFileError, UnsupportedFileTypeError
 from candlewick.functions.text import basename, looks_like_heading, strip
 from candlewick.operators.segment import segment
 from candlewick.sources import pdf
@@ -28,7 +28,12 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 def docx_lines(content: bytes) -> Iterator[Line]:
     """Body paragraphs that aren't blank; those whose style's name has heading or title in it are headings."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    try:
+        package = zipfile.ZipFile(io.BytesIO(content))
+        package.getinfo("word/document.xml")
+    except (zipfile.BadZipFile, KeyError) as e:
+        raise UnreadableFileError(f"{type(e).__name__}: {e}") from e
+    with package as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
         names = {}
         if "word/styles.xml" in z.namelist():
@@ -88,7 +93,10 @@ def _qualified(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_lines(spark: SparkSession, paths: list[str], readers: dict = READERS) -> DataFrame:
-    """file_pos, file, source_file, page, line_no, line, is_heading and error of the files, each read by one task."""
+    """file_pos, file, source_file, page, line_no, line, is_heading and error of the files, each read by one task.
+
+    error is that of a file that can't be opened; a fault inside one that can is raised.
+    """
     at = _qualified(spark, paths)
     if any(_extension(p) not in readers for p in paths):
         routed(spark, paths, readers)
@@ -107,8 +115,8 @@ def read_lines(spark: SparkSession, paths: list[str], readers: dict = READERS) -
                     rows = list(known[_extension(path)](content.as_py()))
                     if not rows:
                         error = "no text"
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
+                except UnreadableFileError as e:
+                    error = str(e)
                 rows = rows or [(None, None, None, None)]
                 columns = [[path] * len(rows), *([r[k] for r in rows] for k in range(4)), [error] * len(rows)]
                 types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string())

@@ -1,3 +1,4 @@
+import re
 import zipfile
 import zlib
 
@@ -7,10 +8,10 @@ from candlewick import errors
 from candlewick.config import Settings
 from candlewick.functions.vectors import KeywordEmbedder
 from candlewick.operators.chunk import Chunker
+from candlewick.operators.retrieve import VectorIndex
 from candlewick.pipeline import RetrievalPipeline
 from candlewick.sources import documents as d
 from candlewick.sources import pdf
-from candlewick.operators.retrieve import VectorIndex
 from candlewick.streaming.ingest import BLOCKS, follow
 
 EMBEDDER = KeywordEmbedder((("force", "mass"), ("heat", "entropy"), ("cell", "organism")))
@@ -66,6 +67,56 @@ def test_pdf_strings():
     assert pdf._shown(b"BT [(a) -300 (b) 20 (c)] TJ T* (d) Tj ET") == "a bc\nd"
 
 
+TABLE = b"1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<0BA4> <00660069>] endbfrange"
+
+
+def _file(objects, key=None):
+    """A PDF of numbered objects; those given as (head, stream) are deflated, and encrypted if there is a key."""
+    out = b"%PDF-1.4\n"
+    for n, x in objects.items():
+        if isinstance(x, tuple):
+            raw = zlib.compress(x[1])
+            raw = pdf._rc4(pdf.object_key(key, n, 0), raw) if key else raw
+            x = b"<< /Filter /FlateDecode /Length %d %s >>\nstream\n%s\nendstream" % (len(raw), x[0], raw)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, x)
+    return out
+
+
+def _composite(key=None, more=b""):
+    page = b"BT /F1 12 Tf <001000110012> Tj <00030020> Tj /F2 9 Tf T* (plain) Tj ET"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Resources 6 0 R >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: (b"", page),
+        5: b"<< /Type /Font /Subtype /Type0 /ToUnicode 7 0 R >>", 6: b"<< /Font << /F1 5 0 R /F2 8 0 R >> >>", 7: (b"", TABLE), 8: b"<< /Type /Font /Subtype /Type1 >>",
+    }
+    return _file(objects, key) + more
+
+
+def test_pdf_composite_fonts():
+    assert list(pdf.pages(_composite())) == ["ABC \u0ba4\nplain"]
+    assert pdf.Codes(TABLE).text(b"\x00\x21\x00\x99\x00\x10") == "fiA"
+
+
+def test_pdf_encrypted_without_a_password():
+    # the example of RC4's description
+    assert pdf._rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    owner, first = bytes(range(32)), b"0123456789abcdef"
+    for version, revision, length in ((1, 2, 40), (2, 3, 128)):
+        key = pdf.file_key(owner, -44, first, revision, length // 8)
+        more = b"9 0 obj\n<< /Filter /Standard /V %d /R %d /Length %d /P -44 /O <%s> /U <00> >>\nendobj\ntrailer << /Encrypt 9 0 R /ID [<%s> <%s>] >>" % (version, revision, length, owner.hex().encode(), first.hex().encode(), first.hex().encode())
+        assert list(pdf.pages(_composite(key, more))) == ["ABC \u0ba4\nplain"]
+    with pytest.raises(pdf.PdfError, match="pypdf"):
+        list(pdf.pages(_composite(None, b"9 0 obj\n<< /Filter /Standard /V 4 /O (x) >>\nendobj\ntrailer << /Encrypt 9 0 R >>")))
+
+
+def test_files_that_cannot_be_opened_are_skipped_and_faults_inside_raised(spark, tmp_path, book):
+    broken = _composite().replace(b"/Length", b"/Lengtg")
+    (tmp_path / "cut.pdf").write_bytes(re.sub(rb"(4 0 obj.*?stream\n)..", rb"\1!!", broken, count=1, flags=re.S))
+    with pytest.raises(Exception, match="zlib|incorrect header|error"):
+        d.ingest(spark, [book, str(tmp_path / "cut.pdf")]).collect()
+    (tmp_path / "none.pdf").write_bytes(b"%PDF-1.4 nothing")
+    assert d.ingest(spark, [book, str(tmp_path / "none.pdf")]).select("source_file").distinct().count() == 1
+
+
 def test_faults(spark, tmp_path, docx):
     with pytest.raises(FileNotFoundError):
         d.extract(spark, str(tmp_path / "none.docx"))
