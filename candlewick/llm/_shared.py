@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from candlewick.storage import Scratch, scratch_root
+from candlewick.storage import Scratch, free_name, scratch_root
 from candlewick.tables import table
 
-__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "Scratch", "alnum_words", "grams", "hashes", "mixed", "scratch_root", "spaced_words", "table"]
+__all__ = ["ALNUM_LOWER", "ASCII_LOWER", "Scratch", "alnum_words", "free_name", "grams", "hashes", "lean", "mixed", "scratch_root", "spaced_words", "table"]
 
 #: Bytes that separate words of ASCII letters, digits and anything beyond ASCII; letters become lower case.
 ALNUM_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -13,6 +13,28 @@ ALNUM_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 o
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Rows that a task works on at once.
+ROWS = 1_000
+
+
+def lean(run):
+    """run, over batches of at most ROWS rows; what a task has held goes back to the machine at its end, as workers outlive tasks."""
+
+    def small(batches):
+        yield from run(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return small
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     r"""Lower-cases A-Z and takes the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(ALNUM_LOWER).split()

@@ -37,8 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm._shared import Scratch, alnum_words, grams, hashes, mixed, spaced_words, table
-from candlewick.storage import free_name
+from candlewick.llm._shared import Scratch, alnum_words, free_name, grams, hashes, lean, mixed, spaced_words, table
 from candlewick.llm.components import components
 
 GROUP = 64
@@ -54,6 +53,8 @@ MANY = 8
 REGROUP = 256
 #: Nodes that ask a group at once.
 ASKING = 512
+#: Signatures that a task packs at once.
+SIGNED = 300_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,7 +212,7 @@ def _signed(measure: Measure, reducers: int):
                     marks.append(mark)
                     names.append(name)
                     size += len(found)
-                if size > 1_000_000:
+                if size > SIGNED:
                     yield packed(signs, marks, names)
                     signs, marks, names, size = [], [], [], 0
         if size:
@@ -378,7 +379,7 @@ def _opened(docs: DataFrame, wanted: DataFrame, measure: Measure) -> DataFrame:
     if wanted.count() <= MOST_BROADCAST:
         fetched = F.broadcast(fetched)
     texts = docs.join(fetched, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "groups")
-    sets = texts.mapInArrow(_tokens_of(measure), "g long, node binary, tokens binary")
+    sets = texts.mapInArrow(lean(_tokens_of(measure)), "g long, node binary, tokens binary")
     return sets.groupBy("g").applyInArrow(_compared(measure), "a binary, b binary")
 
 
@@ -391,11 +392,11 @@ def classes(docs: DataFrame, measure: Measure) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = scratch.keep(docs.mapInArrow(_named(measure), NAMED), "named")
+    named = scratch.keep(docs.mapInArrow(lean(_named(measure)), NAMED), "named")
     reps = named.where("node IS NOT NULL").groupBy("node", "h").agg(F.min("doc_id").alias("rep"))
 
     reducers = 4 * docs.rdd.getNumPartitions()
-    signed = docs.select("text").mapInArrow(_signed(measure, reducers), "reducer long, signs binary, marks binary, names binary")
+    signed = docs.select("text").mapInArrow(lean(_signed(measure, reducers)), "reducer long, signs binary, marks binary, names binary")
     found = scratch.keep(signed.groupBy("reducer").applyInArrow(_shared, "sig long, h long, lead long, level int, spare int, many boolean"), "found")
     # a set does without its signatures of many nodes if enough others are left to share one with any set that it links to
     many = found.where("many")
