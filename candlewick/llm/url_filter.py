@@ -3,14 +3,16 @@ r"""URL filters over a sorted digest array.
 Rules (host, path prefix, verdict) are compiled into one file: the sorted 64-bit xxhash keys of host + path, and for
 each its verdict and full string. The file is written once to the shared folder, Spark hands it to the executors, and
 each worker memory-maps it, so workers of one machine share its pages. For a batch of URLs every host suffix with every
-path prefix of a length that occurs among the rules is hashed; one vectorised binary search probes all of them, and a
+path prefix, both of lengths that occur among the rules, is hashed; one vectorised binary search probes all of them, and a
 hit counts only if the stored string is equal, so collisions change nothing. The longest rule wins.
 
-A list of more than most_rules rules isn't handed out: its rules are then joined with the URLs' candidates in Spark.
+A list of more than most_rules rules is cut by its keys into several files of at most so many, and each URL is held
+against one after the other, so what a machine maps at once stays bounded and the result is the same.
 
 Defined results: a null URL or one without :// has an empty host and path and fits no rule; repeated rows are judged
-one by one; ties in length go to the longer host; of a rule that comes twice the last counts. Other columns stay (those
-named host, path, rule, rule_verdict are replaced). An empty table or an empty list are fine.
+one by one; ties in length go to the longer host; of a rule that comes twice the last counts; rules need a host. A very
+long URL has no more candidates than the rules have lengths. Other columns stay (those named host, path, rule,
+rule_verdict are replaced). An empty table or an empty list are fine.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,22 +48,21 @@ def parts(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(_LOWER), path[: min((k for k in map(path.find, "?#") if k >= 0), default=len(path))]
 
 
-def candidates(host: str, path: str, lengths: Iterable[int]) -> list[str]:
-    """Rules that could fit, the longest first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[k:]) for k in range(len(labels))] if host else []
-    return sorted((h + path[:n] for h in hosts for n in lengths if n <= len(path)), key=len, reverse=True)
+def candidates(host: str, path: str, lengths: Iterable[tuple[int, int]]) -> list[str]:
+    """Rules that could fit, the longest first, of these the longer host; lengths: those of rules' hosts and paths, in that order."""
+    n, m = len(host), len(path)
+    return [host[n - h :] + path[:p] for h, p in lengths if p <= m and (h == n or h < n and host[n - h - 1] == ".")]
 
 
 def compiled(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """The file: count, path lengths, sorted keys, then by key the verdict and the end of its string, then the strings."""
+    """The file: count, pairs of host and path length, the longest first, sorted keys, then by key the verdict and the end of its string, then the strings."""
     from xxhash import xxh3_64_intdigest
 
-    by_text = {h.translate(_LOWER) + p: v for h, p, v in rules}
-    lengths = sorted({len(p) for h, p, _ in rules})
+    by_text = {h.translate(_LOWER) + p: v for h, p, v in rules if h}
+    lengths = sorted({(len(h), len(p)) for h, p, _ in rules if h}, key=lambda x: (-sum(x), -x[0]))
     order = sorted((xxh3_64_intdigest(text.encode()), text) for text in by_text)
     strings = [text.encode() for _, text in order]
-    head = np.array([len(order), len(lengths), *lengths], np.uint64)
+    head = np.array([len(order), 2 * len(lengths), *(n for x in lengths for n in x)], np.uint64)
     verdicts = np.array([by_text[text] == "block" for _, text in order], np.uint64)
     return b"".join(x.tobytes() for x in (head, np.array([k for k, _ in order], np.uint64), verdicts, np.cumsum([0, *map(len, strings)]).astype(np.uint64))) + b"".join(strings)
 
@@ -73,7 +74,7 @@ class Digests:
         words = np.memmap(path, np.uint64, "r", shape=(2,))
         n, k = int(words[0]), int(words[1])
         numbers = np.memmap(path, np.uint64, "r", shape=(3 + k + 3 * n,))
-        self.lengths = [int(x) for x in numbers[2 : 2 + k]]
+        self.lengths = [(int(numbers[i]), int(numbers[i + 1])) for i in range(2, 2 + k, 2)]
         self.keys, self.blocks, self.ends = numbers[2 + k : 2 + k + n], numbers[2 + k + n : 2 + k + 2 * n], numbers[2 + k + 2 * n :]
         self.strings = np.memmap(path, np.uint8, "r", offset=numbers.nbytes) if n else np.zeros(0, np.uint8)
 
@@ -117,51 +118,49 @@ def _hand_out(spark: SparkSession, data: bytes) -> str:
     return name
 
 
+def _files(rules: list[tuple[str, str, str]], most: int) -> list[list[tuple[str, str, str]]]:
+    """The rules by equal ranges of their keys, a rule that comes twice in one part."""
+    from xxhash import xxh3_64_intdigest
+
+    parts_ = max(1, -(-len(rules) // most))
+    out: list[list] = [[] for _ in range(parts_)]
+    for h, p, v in rules:
+        out[xxh3_64_intdigest((h.translate(_LOWER) + p).encode()) * parts_ >> 64].append((h, p, v))
+    return out
+
+
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "url", most_rules: int = MOST_RULES) -> DataFrame:
     """Adds host, path, rule and rule_verdict (null where no rule fits) to pages."""
-    rules = list(rules)
     pages = pages.drop("host", "path", "rule", "rule_verdict")
     names = [*pages.columns, "host", "path", "rule", "rule_verdict"]
     schema = T.StructType([*pages.schema.fields, *(T.StructField(x, T.StringType()) for x in names[-4:])])
-    at = pages.columns.index(url)
-    if len(rules) > most_rules:
-        return _joined(pages, rules, at, schema)
-    name = _hand_out(pages.sparkSession, compiled(rules))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = Digests(SparkFiles.get(name))
-        for batch in batches:
-            split = [parts(x) for x in batch.column(at).to_pylist()]
-            found = digests.longest([candidates(h, p, digests.lengths) for h, p in split])
-            columns = [[h for h, _ in split], [p for _, p in split], [f and f[0] for f in found], [f and f[1] for f in found]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in columns)], names=names)
-
-    return pages.mapInArrow(run, schema)
-
-
-def _joined(pages: DataFrame, rules: list[tuple[str, str, str]], at: int, schema: T.StructType) -> DataFrame:
-    """The same for a list of any length: distinct host and path of the URLs, their candidates, and an equi-join."""
-    spark = pages.sparkSession
-    lengths = sorted({len(p) for _, p, _ in rules})
-    by_text = {h.translate(_LOWER) + p: v for h, p, v in rules}
-    rules_df = spark.createDataFrame(list(by_text.items()), "rule string, rule_verdict string")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [parts(x) for x in batch.column(at).to_pylist()]
-            columns = [pa.array([x[k] for x in found], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names[:-2])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(h, p, c) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in candidates(h, p, lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["host", "path", "rule"])
-
-    known = pages.mapInArrow(split, T.StructType(schema.fields[:-2]))
-    found = known.select("host", "path").distinct().mapInArrow(spread, "host string, path string, rule string").join(rules_df, "rule")
-    first = Window.partitionBy("host", "path").orderBy(F.length("rule").desc(), "rule")
-    best = found.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    return known.join(best, ["host", "path"], "left").select(*schema.names)
+    at, out = pages.columns.index(url), pages
+
+    def searched(name: str, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digests = Digests(SparkFiles.get(name))
+            for batch in batches:
+                split = [parts(x) for x in batch.column(at).to_pylist()]
+                found = digests.longest([candidates(h, p, digests.lengths) for h, p in split])
+                if not first:
+                    before = zip(batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist())
+                    found = [_longer(f, b, h) for f, b, (h, _) in zip(found, before, split)]
+                columns = [[h for h, _ in split], [p for _, p in split], [f and f[0] for f in found], [f and f[1] for f in found]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 4], *(pa.array(c, pa.string()) for c in columns)], names=names)
+
+        return run
+
+    for k, part in enumerate(_files(list(rules), most_rules)):
+        out = out.mapInArrow(searched(_hand_out(pages.sparkSession, compiled(part)), not k), schema)
+    return out
+
+
+def _longer(found: tuple[str, str] | None, before: tuple[str | None, str | None], host: str) -> tuple[str, str] | None:
+    """Of the rules that two files give the longer, in a tie that with the longer host, which is the part that ends the host."""
+    if found is None or before[0] is None:
+        return found or (before if before[0] is not None else None)
+    rank = lambda rule: (len(rule), next(n for n in range(min(len(rule), len(host)), 0, -1) if rule[:n] == host[len(host) - n :]))
+    return max(found, before, key=lambda x: rank(x[0]))
 
 
 def op3_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
