@@ -1,15 +1,17 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A text's features are the distinct 64-bit hashes of its words, word pairs and pairs that skip one or two words. The
-model is fitted on the driver, on at most SAMPLE_ROWS labelled rows (those with the least hash of the id) and at most
-SAMPLE_FEATURES features of them in all; both bounds are parameters. Features that fewer than MIN_ROWS of the sample
-have are left out. Per-coordinate rates and L1 leave few weights, which go to the executors as two arrays: at most
-SAMPLE_FEATURES / MIN_ROWS entries of 12 bytes, in practice some hundred. Scoring is one pass without a shuffle.
+model is fitted on the driver, on at most SAMPLE_ROWS labelled rows (those with the least hash of the id); features that
+fewer than MIN_ROWS of these have are left out in Spark, and of what is left at most SAMPLE_FEATURES in all come to the
+driver: a row that would exceed them is passed over and later ones may still fit. Both bounds are parameters.
+Per-coordinate rates and L1 leave few weights, which go to the executors as two arrays: at most SAMPLE_FEATURES /
+MIN_ROWS entries of 12 bytes, in practice some hundred. Scoring is one pass without a shuffle.
 
 Scores depend on the text alone. Defined results: null and empty texts have the model's bias alone; repeated rows are
-scored one by one; of several labels of an id the largest counts, null labels are left out, and of several texts of an
-id the least is learnt from; with no labelled rows every
-score is 0. Other columns stay (those named score and predicted are replaced).
+scored one by one; of several labels of an id the largest counts, null ids and null labels are left out, and of several
+texts of an id the least is learnt from; rows tied in hash go by id. With no labelled rows every score is 0; where no row
+fits the bound, every score is the sample's share of label 1. A null id is in no held-out fold. Very long texts are
+scored whole. Other columns stay (those named score and predicted are replaced). An empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.llm._shared import Scratch, alnum_words, hashes, mixed, table
+from candlewick.llm._shared import Scratch, alnum_words, hashes, lean, mixed, table
 
 SAMPLE_ROWS = 6_000
-SAMPLE_FEATURES = 24_000_000
+#: Of 8 bytes each; the driver holds them about three times while it fits.
+SAMPLE_FEATURES = 12_000_000
 MIN_ROWS = 5
 #: A fold of five that no model sees.
-HELD_OUT = "crc32(CAST({} AS STRING)) % 5 = 0"
+HELD_OUT = "coalesce(crc32(CAST({} AS STRING)) % 5 = 0, false)"
 
 _SKIPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -99,25 +102,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     usable = labels.where(F.expr(f"doc_id IS NOT NULL AND {label} IS NOT NULL AND NOT ({HELD_OUT.format('doc_id')})"))
     sample = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(sample_rows)
     # the sample has at most sample_rows rows of three numbers
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text")).select("text", "y", "rank").mapInArrow(_featured, "features array<long>, y int, rank long")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "rank").agg(F.min("text").alias("text")).select("text", "y", "rank").mapInArrow(lean(_featured), "features array<long>, y int, rank long")
     scratch = Scratch(docs.sparkSession, "toxicity")
-    kept = scratch.keep(found.withColumn("n", F.size("features")), "sample")
-    # numbers of at most sample_rows rows, then the rows that fit, the least ranks first
-    fitting, size = {}, 0
-    for rank, y, n in sorted(kept.select("rank", "y", "n").collect()):
-        size += n
-        if size > sample_features:
-            break
-        fitting[rank] = y
-    # features that few rows have are left out before the rows come to the driver
-    each = kept.where(F.col("rank") <= max(fitting, default=-(2**63))).select("rank", F.explode("features").alias("f"))
+    kept = scratch.keep(found, "sample")
+    # features that few rows have are left out before anything comes to the driver
+    each = kept.select("rank", F.explode("features").alias("f"))
     shared = each.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("f")
-    rows = each.join(shared, "f").groupBy("rank").agg(F.array_sort(F.collect_list("f")).alias("features")).toArrow()
-    of = dict.fromkeys(fitting, np.zeros(0, np.uint64))
+    made = scratch.keep(each.join(shared, "f").groupBy("rank").agg(F.array_sort(F.collect_list("f")).alias("features")), "shared")
+    # numbers of at most sample_rows rows, then the rows that fit, the least ranks first
+    of, size = {}, 0
+    for rank, y, n in sorted(kept.select("rank", "y").join(made.select("rank", F.size("features").alias("n")), "rank", "left").fillna(0, ["n"]).collect()):
+        if size + n <= sample_features:
+            size += n
+            of[rank] = y, np.zeros(0, np.uint64)
+    if not of and not kept.isEmpty():
+        share = kept.agg(F.avg("y")).first()[0]
+        scratch.drop("sample", "shared")
+        return Model(np.zeros(0, np.uint64), np.zeros(0), math.log(max(share, 1e-4) / max(1 - share, 1e-4)))
+    fitting = docs.sparkSession.createDataFrame([(x,) for x in of], "rank long")
+    rows = made.join(F.broadcast(fitting), "rank").toArrow()
     for rank, x in zip(rows.column("rank").to_pylist(), rows.column("features")):
-        of[rank] = np.sort(x.values.to_numpy().view(np.uint64))
-    scratch.drop("sample")
-    return fit([(of[rank], y) for rank, y in fitting.items()])
+        of[rank] = of[rank][0], np.sort(x.values.to_numpy().view(np.uint64))
+    scratch.drop("sample", "shared")
+    return fit([(x, y) for y, x in of.values()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -131,7 +138,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores = [known.value.score(features(x.as_py())) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op10_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
