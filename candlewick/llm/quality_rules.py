@@ -6,6 +6,7 @@ and a row is kept if no rule fails. There are no Python functions and no exchang
 Defined results: a null text counts as empty; an empty text has measures of 0 and fails by its length; the stop-word ratio of
 fewer than 30 words tells nothing and counts as 1.
 Rows are judged one by one, so repeated rows, ties and extra columns change nothing; an empty table gives an empty table.
+Very long texts are measured whole, in time that grows with their words (and their logarithm, where windows repeat).
 Repeated windows are found by 64-bit hashes of their words.
 """
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm._shared import table
+from candlewick.llm._shared import free_name, table
 
 SPACES = r" \t\n\x0B\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -76,8 +77,8 @@ def _repeated(w: str) -> str:
     return f"IF(size({w}) < {n}, 0L, {_let('h', hashes, f'IF(size(array_distinct(h)) = size(h), 0L, {with_places})')})"
 
 
-def measures(text: Column) -> Column:
-    """A struct of counts of one text."""
+def measures(text: str) -> Column:
+    """A struct of counts of the text in a column."""
     quoted = ", ".join(f"'{x}'" for x in STOP_WORDS)
     counts = ", ".join(
         [
@@ -93,8 +94,7 @@ def measures(text: Column) -> Column:
     )
     lines = rf"filter(split(t, '\\n'), x -> btrim(x, '{SPACES.replace('\\x0B', '\\u000B').replace('\\f', '\\u000C')}') <> '')"
     words = r"filter(split(t, '[ \\x09-\\x0D]+'), x -> x <> '')"
-    # t is a column of its own below, so that it can be named in SQL
-    return F.expr(_let("t", "coalesce(__text, '')", _let("w", words, _let("l", lines, f"named_struct({counts})"))))
+    return F.expr(_let("t", f"coalesce(`{text.replace('`', '``')}`, '')", _let("w", words, _let("l", lines, f"named_struct({counts})"))))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, verdict: str = "method_kept") -> DataFrame:
@@ -102,9 +102,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
     A column of docs by one of these names is replaced.
     """
-    made = docs.withColumn("__text", F.col(text)).withColumn("__m", measures(F.col(text))).drop("__text")
     fields = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_stop")
-    made = made.withColumns({x: F.col(f"__m.{x}") for x in fields}).drop("__m")
+    found = free_name(docs.columns, "measures")
+    made = docs.withColumn(found, measures(text))
+    made = made.withColumns({x: F.col(f"{found}.{x}") for x in fields}).drop(found)
     made = made.withColumns({k: F.expr(v) for k, v in RATIOS.items()})
     failed = F.expr("filter(array(" + ", ".join(f"IF({r.failed()}, '{r.ratio}', NULL)" for r in rules) + "), x -> x IS NOT NULL)") if rules else F.expr("CAST(array() AS array<string>)")
     return made.withColumn("failed_rules", F.array_join(failed, ",")).withColumn(verdict, F.col("failed_rules") == "")
