@@ -14,7 +14,7 @@ from candlewick.llm._shared import Scratch
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
@@ -25,16 +25,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unfinished(links: DataFrame) -> bool:
+    """Whether a node has several roots, or is a root and has one."""
+    ends = links.selectExpr("a AS node", "1 AS links", "0 AS linked").unionByName(links.selectExpr("b AS node", "0 AS links", "1 AS linked"))
+    return not ends.groupBy("node").agg(F.sum("links").alias("n"), F.max("linked").alias("r")).where("n > 1 OR n * r > 0").isEmpty()
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """From links (a, b): node and root, the least node of its component, for every node but the roots."""
-    current = scratch.keep(links.where("a <> b").select("a", "b").distinct(), f"{name}-0")
-    seen, k = None, 0
-    while True:
-        sign = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if sign == seen or not sign[0]:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen, k = sign, k + 1
+    current, k = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
+    while _unfinished(current):
+        k += 1
         large = scratch.keep(_large_star(current), f"{name}-{k}-large")
         following = scratch.keep(_small_star(large), f"{name}-{k}")
         scratch.drop(f"{name}-{k}-large", f"{name}-{k - 1}")
         current = following
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
