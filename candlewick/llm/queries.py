@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from candlewick.llm import chat_format, decontam, jaccard_join, license_scan, line_dedup, packing, pii, quality_rules, toxicity, url_filter
 
 QUERIES = {
@@ -14,10 +13,8 @@ QUERIES = {
     "op6_winnowing": decontam.op6_winnowing,
     "op7_token_group": jaccard_join.op7_token_group,
     "op8_line_hashing": line_dedup.op8_line_hashing,
-    "op8_passage_hashing": line_dedup.op8_passage_hashing,
     "op9_diagonal_voting": license_scan.op9_diagonal_voting,
     "op10_ftrl": toxicity.op10_ftrl,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
@@ -26,5 +23,3 @@ ORACLES = {
     "op8_line_hashing": line_dedup.ORACLE,
     "op9_diagonal_voting": license_scan.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -4,7 +4,8 @@ personal data is masked, and what is left is packed into sequences.
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs, further columns of any name with
 their own values. Null texts count as empty: they aren't toxic, resemble nothing, hold no passage, stay null when data
 is masked, and are packed as a separator alone. Rows whose doc_id is null or comes again are documents of their own;
-equal texts among them are copies, of which the first stays. Empty tables pass through as empty tables.
+equal texts among them are copies, of which the first stays. Very long texts are read whole by every stage. Empty tables
+pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import decontam, jaccard_join, packing, pii, toxicity
-from candlewick.llm._shared import Scratch, alnum_words, table
+from candlewick.llm._shared import Scratch, alnum_words, free_name, table
 
 #: Near-duplicates share at least 80 of 100 of their five-word shingles.
 NEAR = jaccard_join.Measure(5, 80, 100, alnum_words)
@@ -23,7 +24,10 @@ NEAR = jaccard_join.Measure(5, 80, 100, alnum_words)
 
 def _aside(docs: DataFrame, names: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What stage keeps of docs, with the columns of docs; those by names that the stage takes stand aside meanwhile."""
-    moved = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    moved: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            moved[c] = free_name([*docs.columns, *names, *moved.values()], f"own_{c}")
     return stage(docs.withColumnsRenamed(moved)).select(*[F.col(moved.get(c, c)).alias(c) for c in docs.columns])
 
 
@@ -67,6 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, each over what its predecessor kept. The last one's table stays until the application ends."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
@@ -74,3 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
