@@ -22,6 +22,14 @@ def test_quality_measures(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_of_long_texts_and_of_tables_with_clashing_names(spark):
+    long = "lorem ipsum dolor " * 60_000
+    df = spark.createDataFrame([(1, long, "a", 5), (2, "x y", "b", 6)], "doc_id long, `my text` string, __text string, measures int")
+    got = {r.doc_id: r for r in quality_rules.judge(df, "my text").collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].word_chars) == (180_000, 180_000, 900_000)
+    assert [(got[k]["__text"], got[k].measures) for k in (1, 2)] == [("a", 5), ("b", 6)]
+
+
 URLS = [
     None, "", "no scheme.com/", "http://a.com/x", "HTTP://WWW.Example.COM/en/1?q#f", "https://example.com/en/", "https://x.example.com/de/", "http://b.net/es/1", "http://b.net/es", "ftp://b.net/fr/?/",
     "http://x.spam-farm.example.org/a", "http://notspam-farm.example.org/", "://", "http://com/", "http://c.org#://x.net/es/",
@@ -35,12 +43,12 @@ def brute_url(url, rules):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return (host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, None)))
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits, key=lambda x: x[:2])[2:] if fits else (None, None)))
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_url_rules_by_file_and_by_join(spark, most):
+@pytest.mark.parametrize("most", [10**6, 2, 1])
+def test_url_rules_in_one_file_and_in_many(spark, most):
     rules = [*url_filter.RULES, *((h, "", "block") for h in url_filter.BLOCKED_HOSTS)]
     df = spark.createDataFrame([(k, u, "x") for k, u in enumerate([*URLS, *URLS])], "page_id long, url string, host string")
     got = [(r.host, r.path, r.rule, r.rule_verdict) for r in url_filter.judge(df, rules, most_rules=most).orderBy("page_id").collect()]
@@ -49,19 +57,80 @@ def test_url_rules_by_file_and_by_join(spark, most):
     assert {r.rule for r in url_filter.judge(df, [], most_rules=10**6).collect()} == {None}
 
 
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_url_ties_and_long_hosts(spark, most):
+    rules = [("z.com", "", "block"), ("com", "/x", "allow"), ("y.net", "/", "allow"), ("net", "/ab", "block"), ("org", "", "allow"), ("org", "", "block")]
+    urls = ["http://z.com/x", "http://q.z.com/x/1", "http://y.net/ab", "http://y.net/a", "http://a.org", "http://" + "." * 40_000 + "z.com/x", "http://" + "a." * 20_000 + "net/abc" + "d" * 50_000]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = [(r.rule, r.rule_verdict) for r in url_filter.judge(df, rules, most_rules=most).orderBy("page_id").collect()]
+    assert got == [brute_url(u, rules[:4] + rules[5:])[2:] for u in urls]
+    assert got[0] == ("z.com", "block") and got[4] == ("org", "block")
+    assert len(url_filter.candidates("." * 40_000 + "z.com", "/x", [(5, 0), (3, 2), (6, 1)])) == 3
+
+
 def test_windows_in_one_block_and_in_many(spark):
     items = [(1, "a b c d e f g h i j k l m"), (2, "short Item"), (3, None), (4, ""), (None, "x y"), (2, "f g h i j k l m n o p")]
     docs = [(1, "zz A b, c d e f g h i j. k l qq short item"), (2, "b c d e f g h i j"), (3, None), (4, "item short"), (5, "x y"), (6, "f g h i j k l m n o p")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame([(*d, 9) for d in docs], "doc_id long, text string, n_words int")
-    expected = [(15, [1, 13, 14, 16], ["1", "2"]), (9, [], []), (0, [], []), (2, [], []), (2, [], []), (11, [0, 11], ["2"])]
+    df = spark.createDataFrame([(*d, 9, "r") for d in docs], "doc_id long, text string, n_words int, row string")
+    expected = [(15, [1, 13, 14, 16], ["1", "2"]), (9, [], []), (0, [], []), (2, [], []), (2, [0, 2], [None]), (11, [0, 11], ["2"])]
     expected[0] = (len("zz a b c d e f g h i j k l qq short item".split()), [1, 13, 14, 16], ["1", "2"])
     for chars in (10**6, 12):
         got = decontam.detect(df, bench, block_chars=chars).orderBy("doc_id").collect()
-        assert [(r.n_words, r.hit_spans, r.hit_items) for r in got] == expected
+        assert [(r.n_words, r.hit_spans, r.hit_items) for r in got] == expected and {r.row for r in got} == {"r"}
     assert decontam.detect(df, bench.limit(0)).where("size(hit_items) > 0").count() == 0
 
 
+def test_hits_equal_brute_force_on_random_texts(monkeypatch):
+    import random
+
+    random.seed(9)
+    for size in (3, 12, 60):
+        words = [f"w{k}" for k in range(size)]
+        prose = lambda n: [random.choice(words) for _ in range(n)]  # noqa: B023, E731
+        items = [(str(k) if k % 9 else None, prose(random.choice([0, 1, 2, 9, 10, 11, 40]))) for k in range(30)]
+        index = decontam.Index([(k, " ".join(w)) for k, w in items])
+        for _ in range(60):
+            text = prose(random.randrange(60))
+            for _ in range(random.randrange(3)):
+                own = random.choice(items)[1]
+                a = random.randrange(len(own) + 1)
+                text[random.randrange(len(text) + 1) : 0] = own[a : a + random.randrange(30)]
+            hit, found = set(), set()
+            for k, w in items:
+                n = min(10, len(w))
+                windows = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+                for i in range(len(text) - n + 1):
+                    if tuple(text[i : i + n]) in windows:
+                        hit |= set(range(i, i + n))
+                        found.add(k)
+            spans, of = index.hits([x.encode() for x in text])
+            assert {p for a, b in spans for p in range(a, b)} == hit and of == found
+
+
+def test_query_counts_items_without_ids_as_its_sql_does(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(decontam, "PIECE", 4)
+    item = "a b c d e f g h i j k l m n o p q r s t u v w"
+    spark.createDataFrame([(None, "x y"), (1, item), (2, "x Y"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "x y z"), (2, None), (3, f"q {item} q"), (4, "c d e f g h i j k l m"), (4, "clean text"), (None, "x, y")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = decontam.op6_winnowing(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({decontam.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_decontamination_reads_long_texts_whole(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    df = spark.createDataFrame([(1, "w x " * 200_000 + item + " y")], "doc_id long, text string")
+    (row,) = decontam.detect(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert row.hit_spans == [400_000, 400_030]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -149,6 +218,55 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.predicted for r in toxicity.score(df, empty).collect()} == {0}
 
 
+def test_weights_equal_a_scalar_ftrl():
+    import math
+    import random
+
+    import numpy as np
+
+    random.seed(2)
+    rows = [(np.array(sorted(random.sample(range(40), random.randint(0, 12))), np.uint64), random.randint(0, 1)) for _ in range(120)]
+    rows = [(x, int(3 in x or y and 7 in x)) for x, y in rows]
+    alpha, beta, l1, l2, epochs, least = 0.5, 1.0, 0.4, 0.1, 3, 5
+    z, n = dict.fromkeys(range(40), 0.0), dict.fromkeys(range(40), 0.0)
+    known = {i for i in range(40) if sum(i in x for x, _ in rows) >= least}
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    share = sum(y for _, y in rows) / len(rows)
+    bias, bias_n = math.log(share / (1 - share)), 0.0
+    for _ in range(epochs):
+        for x, y in rows:
+            own = [int(i) for i in x if int(i) in known]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in own:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= 0.1 / (1 + math.sqrt(bias_n)) * g
+    model = toxicity.fit(rows, alpha, beta, l1, l2, epochs, least)
+    expected = {i: weight(i) for i in sorted(known) if weight(i)}
+    assert len(expected) > 5 and dict(zip(model.keys.tolist(), model.weights.tolist())) == pytest.approx(expected) and model.bias == pytest.approx(bias)
+
+
+def test_toxicity_passes_over_rows_beyond_its_bound_and_is_never_empty(spark):
+    docs = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(2000 if k == 1 else 6)) + (" vile" if k % 3 == 0 else "")) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in docs], "doc_id long, toxic int")
+    whole = toxicity.train(df, labels)
+    assert len(whole.keys) and len(toxicity.train(df, labels, sample_features=1500).keys)
+    none = toxicity.train(df, labels, sample_features=1)
+    assert not len(none.keys) and 0.2 < none.score(toxicity.features("anything")) < 0.5
+    scored = toxicity.score(spark.createDataFrame([(None, "vile " * 300_000), (1, None)], "doc_id long, text string"), whole).collect()
+    assert len(scored) == 2 and toxicity.score(df.limit(0), whole).count() == 0
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    spark.createDataFrame([(None, "a"), (1, None), (5, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id: r.held_out for r in toxicity.op10_ftrl(spark, str(tmp_path)).collect()} == {None: False, 1: zlib.crc32(b"1") % 5 == 0, 5: zlib.crc32(b"5") % 5 == 0}
+
+
 def test_toxicity_sample_has_six_thousand_rows(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(len(rows)))
