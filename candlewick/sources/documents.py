@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.errors import EmptyDocumentError, UnreadableFileError, UnsupportedFileTypeError
-from candlewick.functions.text import basename, looks_like_heading, strip
+from candlewick.functions.text import basename, looks_like_heading
 from candlewick.operators.segment import segment
 from candlewick.sources import pdf
 from candlewick.storage import Scratch, exists, hadoop_path
