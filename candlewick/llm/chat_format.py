@@ -22,7 +22,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm._shared import Scratch, alnum_words, free_name, grams, hashes, lean, mixed, spaced_words, table
+from candlewick.llm._shared import Scratch, free_name, grams, hashes, lean, mixed, spaced_words, table
 from candlewick.llm.components import components
 
 GROUP = 64
