@@ -7,8 +7,8 @@ by hash; each pair of places is extended to both sides as far as words are equal
 hit, once its text has been compared. An item of fewer words, but not none, is one window: runs of its length are joined
 by their hashes and compared alike.
 
-The benchmark goes to the executors in blocks of at most about BLOCK_CHARS characters, as arrays of about 20 bytes a
-word: in a worker's memory some 4 bytes a character. Long items are cut into pieces that overlap by a window less a
+The benchmark goes to the executors in blocks of at most about BLOCK_CHARS characters, as arrays of some 26 bytes a word
+(measured: 4.2 bytes a character, so 67 MB in a worker). Long items are cut into pieces that overlap by a window less a
 word. A block is a pass over the documents without a shuffle. Several blocks each give the hits alone, which are
 gathered by row; the result is the same.
 
@@ -51,9 +51,9 @@ class _Table:
     def __init__(self, keys: list[np.ndarray], places: list[np.ndarray]):
         flat, at = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *places])
         order = np.argsort(flat, kind="stable")
-        self.places = at[order]
-        self.keys, self.starts = np.unique(flat[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(flat))
+        self.places = at[order].astype(np.int32)
+        self.keys, starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(starts, len(flat)).astype(np.int32)
 
     def pairs(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every (index of a value, place of that hash)."""
@@ -61,9 +61,9 @@ class _Table:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[at] == values)
-        starts, counts = self.starts[at[hit]], self.ends[at[hit]] - self.starts[at[hit]]
+        starts, counts = self.starts[at[hit]].astype(np.int64), np.diff(self.starts)[at[hit]].astype(np.int64)
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(hit, counts), self.places[np.repeat(starts, counts) + step]
+        return np.repeat(hit, counts), self.places[np.repeat(starts, counts) + step].astype(np.int64)
 
 
 class Index:
@@ -72,8 +72,8 @@ class Index:
     def __init__(self, items: list[tuple[str | None, str]]):
         self.names = sorted({item for item, _ in items if item is not None})
         number = {x: k for k, x in enumerate(self.names)} | {None: -1}
-        words, first, of, keys, places, short = [], 0, [], [], [], {}
-        all_hashes, begins = [], []
+        words, first, piece, keys, places, short = [], 0, [], [], [], {}
+        all_hashes, self.of = [], []
         for item, text in items:
             own = alnum_words(text)
             if not own:
@@ -90,14 +90,14 @@ class Index:
                 short[len(own)][1].append(np.array([first]))
             words.append(b" ".join(own))
             all_hashes.append(h)
-            of.append(np.full(len(own), number[item], np.int32))
-            begins.append(np.full(len(own), first, np.int64))
+            piece.append(np.full(len(own), len(self.of), np.int32))
+            self.of.append(number[item])
             first += len(own)
         self.prints, self.short = _Table(keys, places), {n: _Table(*x) for n, x in short.items()}
-        self.hashes, self.of, self.begins = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((all_hashes, np.uint64), (of, np.int32), (begins, np.int64)))
+        self.hashes, self.piece = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((all_hashes, np.uint64), (piece, np.int32)))
         self.text = np.frombuffer(b" ".join(words), np.uint8)
         # where each word starts, and one place past the end
-        self.at = np.concatenate([[0], np.flatnonzero(self.text == 32) + 1, [len(self.text) + 1]]) if first else np.zeros(1, np.int64)
+        self.at = np.concatenate([[0], np.flatnonzero(self.text == 32) + 1, [len(self.text) + 1]]).astype(np.uint32) if first else np.zeros(1, np.uint32)
 
     def _extended(self, h: np.ndarray, i: np.ndarray, q: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """How many words to the left and to the right of a shared run of size words are equal too, up to a window."""
@@ -109,7 +109,7 @@ class Index:
                 a, b = i[on] + edge + step * k, q[on] + edge + step * k
                 inside = (a >= 0) & (a < len(h)) & (b >= 0) & (b < len(self.hashes))
                 on, a, b = on[inside], a[inside], b[inside]
-                equal = (h[a] == self.hashes[b]) & (self.begins[b] == self.begins[q[on]])
+                equal = (h[a] == self.hashes[b]) & (self.piece[b] == self.piece[q[on]])
                 on = on[equal]
                 out[on] = k
                 if not len(on):
@@ -129,18 +129,18 @@ class Index:
                 for a, b, n in zip((i - left).tolist(), (q - left).tolist(), (left + right + GRAM).tolist()):
                     if n >= WINDOW and self._same(words, a, b, n):
                         found.append((a, a + n))
-                        items.add(int(self.of[b]))
+                        items.add(self.of[self.piece[b]])
         for n, known in self.short.items():
             if len(words) >= n:
                 k, q = known.pairs(grams(h, n))
                 for a, b in zip(k.tolist(), q.tolist()):
                     if self._same(words, a, b, n):
                         found.append((a, a + n))
-                        items.add(int(self.of[b]))
+                        items.add(self.of[self.piece[b]])
         return _joined(found), {None if x < 0 else self.names[x] for x in items}
 
     def _same(self, words: list[bytes], a: int, b: int, n: int) -> bool:
-        return self.text[self.at[b] : self.at[b + n] - 1].tobytes() == b" ".join(words[a : a + n])
+        return self.text[int(self.at[b]) : int(self.at[b + n]) - 1].tobytes() == b" ".join(words[a : a + n])
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
