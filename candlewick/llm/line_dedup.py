@@ -1,122 +1,178 @@
-r"""Substring deduplication by line hashing.
+r"""Substring deduplication by hashing lines and what they are made of.
 
-A unit is a line. Its normal form is its words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ with A-Z lower-cased, joined by spaces,
-and units of fewer than MIN_WORDS words are left alone. Digests (128 bits) of the normal forms are grouped over all
-documents; the earliest occurrence, by doc_id, then row, then place, stays and the others go, with their offsets in
-the original text (code points, ends exclusive) kept.
+Lines are cut into clauses, after marks [.!?,;:]+ that white space follows, so that a passage that was put into a line
+has clauses of its own. A clause's normal form is its words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ with A-Z lower-cased,
+joined by spaces; clauses without words count for nothing. A unit is the shortest run of clauses, over ends of lines
+too, that has MIN_WORDS words, from each clause on, and the shortest up to the text's end. Digests (128 bits) of the
+units are grouped over all documents; the earliest occurrence, by doc_id, then row, then place, stays. Clauses of later
+ones go; neighbouring clauses that go are one span, with its offsets in the original text (code points, ends exclusive).
+So every clause that goes stands at an earlier place, and what a repeated passage keeps is at most a cut clause at
+either end.
 
-Counts of a digest are summed before they are shuffled, and a join brings each digest's first occurrence back to the
-units, so a line that a third of all rows hold is split over tasks by adaptive execution; no task collects a digest.
+Earliest occurrences of a digest are found before they are shuffled, and a join brings them back to the units, so a
+line that a third of all rows hold is split over tasks by adaptive execution; no task collects a digest.
 
 Defined results: null and empty texts have no units; repeated rows are documents of their own, of which the first keeps
-its lines; a null doc_id ranks last; a document none of whose lines go is returned with none. Extra columns are ignored
-by spans() and kept by cleaned(). An empty table gives no rows.
-
-passages() finds repeats wherever lines begin and end. Its unit is every run of PASSAGE_WORDS words of a text, compared
-by 64 bits. In each such run, one of its shorter runs of _SHORT words is chosen by least hash (winnowing), so texts that
-share a passage share a chosen run; only the neighbourhoods of chosen runs that occur twice have their units shuffled.
-Words of a unit that has occurred before go; a stretch of neighbouring units is one span, whose first_doc_id is that of
-its first unit. Each word that goes therefore stands in the same words at an earlier place. Offsets are from the first
-word to the end of the last. A null doc_id, repeated rows and empty tables are as above.
-
-repeats() adds runs of whole lines of MIN_WORDS words or more in all, so short lines are compared with their neighbours:
-its units are, of the lines that have words, the shortest runs that reach the minimum from each line on and up to each
-line. Any repeated run of lines that reaches the minimum is made of such units. Spans of both kinds that overlap are one.
+its text; a null doc_id ranks last; a document none of whose text goes is returned with no spans. Very long texts are
+read whole, as a row of a few numbers for each clause. Extra columns are ignored by spans() and kept by cleaned(). An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from candlewick.llm._shared import ALNUM_LOWER, Scratch, alnum_words, hashes, mixed, table
+from candlewick.llm._shared import Scratch, alnum_words, free_name, lean, table
 
 MIN_WORDS = 10
-#: A run of so many words that has occurred before is a repeated passage.
-PASSAGE_WORDS = 50
-_SHORT = 25
-
-_UNIT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
-
+#: Words from which a span counts as a passage.
+PASSAGE_WORDS = 25
+#: Marks that end a clause, and white space inside lines.
+MARKS, SPACES = ".!?,;:", "\x20\x09\x0b\x0c\x0d"
+
+_CUT = re.compile(rf"[{MARKS}]+[{SPACES}]+|\n")
+
+
+def clauses(text: str | None) -> list[tuple[int, int, list[bytes]]]:
+    """Start, end and words of the clauses that have words."""
+    text, out, at = text or "", [], 0
+    for m in [*_CUT.finditer(text), None]:
+        end = m.end() if m else len(text)
+        if words := alnum_words(part := text[at:end]):
+            out.append((at, at + len(part.rstrip(SPACES + "\n")), words))
+        at = end
+    return out
 
-def units(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
-    from xxhash import xxh3_128_digest
 
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        if len(words := alnum_words(line)) >= min_words:
-            out.append((at, at + len(line), xxh3_128_digest(b" ".join(words))))
-        at += len(line) + 1
+def units(found: list[tuple[int, int, list[bytes]]], min_words: int) -> list[tuple[int, int]]:
+    """First and last clause of the shortest runs with min_words words, from each clause on and up to the end."""
+    sizes, out, last, n = [len(w) for _, _, w in found], [], 0, 0
+    for i, size in enumerate(sizes):
+        while last < len(sizes) and n < min_words:
+            n += sizes[last]
+            last += 1
+        if n < min_words:
+            break
+        out.append((i, last - 1))
+        n -= size
+    # of the runs up to the end only those remain that the loop broke off at
+    if out and out[-1][1] < len(sizes) - 1:
+        n, i = 0, len(sizes)
+        while n < min_words:
+            i -= 1
+            n += sizes[i]
+        out.append((i, len(sizes) - 1))
     return out
 
 
-def line_runs(text: str | None, min_words: int) -> list[tuple[int, int, bytes]]:
-    """The shortest runs of lines with min_words words, from each line on and up to each line."""
-    from xxhash import xxh3_128_digest
-
-    lines, at = [], 0
-    for line in (text or "").split("\n"):
-        if words := alnum_words(line):
-            lines.append((at, at + len(line), words))
-        at += len(line) + 1
-    found, i, n = set(), 0, 0
-    for j in range(len(lines)):
-        n += len(lines[j][2])
-        while n >= min_words:  # the first run of each start
-            found.add((i, j))
-            n -= len(lines[i][2])
-            i += 1
-        if i and n < min_words <= n + len(lines[i - 1][2]):  # the last start for this end
-            found.add((i - 1, j))
-    return [(lines[i][0], lines[j][1], xxh3_128_digest(b"\n".join(b" ".join(w) for _, _, w in lines[i : j + 1]))) for i, j in sorted(found)]
-
-
-def _units(min_words: int, of=units):
+def _units(min_words: int):
+    """row, doc_id and of each unit its place in code points and in words, packed, and its digest in two halves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            found = [of(x.as_py(), min_words) for x in batch.column(2)]
-            listed = pa.array([[{"start": a, "end": b, "digest": d} for a, b, d in f] for f in found], _UNIT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], names=["row", "doc_id", "units"])
+            places, words, digests, sizes = [], [], [], [0]
+            for text in batch.column(2):
+                found = clauses(text.as_py())
+                before = [0]
+                for _, _, w in found:
+                    before.append(before[-1] + len(w))
+                joined = [b" ".join(w) for _, _, w in found]
+                for i, j in units(found, min_words):
+                    places.append(found[i][0] << 32 | found[j][1])
+                    words.append(before[i] << 32 | before[j + 1])
+                    digests.append(xxh3_128_digest(b" ".join(joined[i : j + 1])))
+                sizes.append(len(places))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            columns = [np.array(places, np.int64), np.array(words, np.int64), halves[:, 0], halves[:, 1]]
+            listed = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.ascontiguousarray(c))) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *listed], names=["row", "doc_id", "place", "words", "d1", "d2"])
 
     return run
 
 
+SPAN = "array<struct<start:int,end:int,first_doc_id:bigint,n_words:int>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64()), ("n_words", pa.int32())]))
+
+
+def _spanned(listed: list[dict]) -> list[dict]:
+    """Units in order, joined where no word lies between them."""
+    out: list[dict] = []
+    for x in listed:
+        start, end, a, b = x["place"] >> 32, x["place"] & 0xFFFFFFFF, x["words"] >> 32, x["words"] & 0xFFFFFFFF
+        if out and a <= out[-1]["to"]:
+            out[-1]["end"], out[-1]["to"] = max(end, out[-1]["end"]), max(b, out[-1]["to"])
+        else:
+            out.append({"start": start, "end": end, "first_doc_id": x["first_doc_id"], "from": a, "to": b})
+    for x in out:
+        x["n_words"] = x.pop("to") - x.pop("from")
+    return out
+
+
+def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        listed = [sorted(x or (), key=lambda u: (u["place"] >> 32, u["place"])) for x in batch.column(3).to_pylist()]
+        going = [[u for u in x if u["goes"]] for x in listed]
+        arrays = [pa.array([len(x) for x in going], pa.int64()), pa.array(map(_spanned, going), _SPAN), pa.array([_spanned([u for u in x if u["shared"]]) for x in listed], _SPAN)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=["row", "doc_id", "n_units", "n_removed", "removed", "shared"])
+
+
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row, doc_id, n_units and removed, an array of (start, end, first_doc_id) by start, for every row of docs."""
-    return _spans(docs.withColumn("row", F.monotonically_increasing_id()), min_words)
+    """row, doc_id, n_units, n_removed (units that go), and removed and shared, arrays of (start, end, first_doc_id, n_words).
+
+    shared are the spans of units that other rows have too, whether they go or stay as the first. first_doc_id is that of
+    a span's first unit.
+    """
+    return _spans(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), min_words, Scratch(docs.sparkSession, "lines"))
 
 
-def _spans(docs: DataFrame, min_words: int, of=units) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "lines")
+def _spans(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     docs = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = scratch.keep(docs.mapInArrow(_units(min_words, of), "row long, doc_id long, units array<struct<start:int,end:int,digest:binary>>"), "units")
-    each = made.select("row", "doc_id", F.explode("units").alias("u")).select("row", "doc_id", "u.*")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
-    first = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("digest", "f")
-    again = each.join(first, "digest").where("row <> f.row OR start <> f.start").select("row", F.struct("start", "end", F.col("f.doc_id").alias("first_doc_id")).alias("x"))
-    removed = again.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("removed"))
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,first_doc_id:bigint>>)")
-    return made.join(removed, "row", "left").select("row", "doc_id", F.size("units").cast("long").alias("n_units"), F.coalesce("removed", none).alias("removed"))
+    kinds = ", ".join(f"{c} array<long>" for c in ("place", "words", "d1", "d2"))
+    made = scratch.keep(docs.mapInArrow(lean(_units(min_words)), f"row long, doc_id long, {kinds}"), "units")
+    each = made.select("row", "doc_id", F.inline(F.arrays_zip("place", "words", "d1", "d2")))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
+    first = each.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("f"), F.max("row").alias("most"), F.min("row").alias("least")).where("n > 1")
+    # each step is written, so that its shuffle goes before the next one's comes
+    first = scratch.keep(first.selectExpr("d1", "d2", "f.doc_id AS first_doc_id", "f.row AS first_row", "f.place AS first_place", "least <> most AS shared"), "first")
+    again = each.drop("doc_id").join(first, ["d1", "d2"]).withColumn("goes", F.expr("row <> first_row OR place <> first_place")).where("goes OR shared")
+    again = scratch.keep(again.select("row", "place", "words", "first_doc_id", "goes", "shared"), "again")
+    scratch.drop("first")
+    hits = again.groupBy("row").agg(F.collect_list(F.struct("place", "words", "first_doc_id", "goes", "shared")).alias("hits"))
+    found = made.select("row", "doc_id", F.size("place").cast("long").alias("n_units")).join(hits, "row", "left").select("row", "doc_id", "n_units", "hits")
+    return found.mapInArrow(lean(_spans_of), f"row long, doc_id long, n_units long, n_removed long, removed {SPAN}, shared {SPAN}")
 
 
 def without(text: str, removed: list[tuple[int, int]]) -> str:
-    """The text without these lines."""
+    """The text without these spans, the spaces beside them, and the lines that they leave empty."""
     out, at = [], 0
     for a, b in removed:
+        left, right = len(text[:a].rstrip(SPACES)), len(text) - len(text[b:].lstrip(SPACES))
+        opens, closes = left == 0 or text[left - 1] == "\n", right == len(text) or text[right] == "\n"
+        if opens and closes:
+            a, b = (left, right + 1) if right < len(text) else (max(left - 1, at), right)
+        else:
+            a, b = (left, right) if closes else (a, right)
         out.append(text[at:a])
-        at = min(b + 1, len(text))
-    return "".join([*out, text[at:]]).removesuffix("\n" if removed and removed[-1][1] == len(text) else "")
+        at = b
+    return "".join([*out, text[at:]])
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with repeated lines cut from text, and removed. Columns of docs named row or removed are dropped."""
-    docs = docs.drop("row", "removed")
-    kept = Scratch(docs.sparkSession, "lines-docs").keep(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    found = _spans(kept, min_words)
-    names = [*docs.columns, "removed"]
+    """docs with repeated text cut from text, and removed (a column of that name is replaced)."""
+    spark, docs = docs.sparkSession, docs.drop("removed")
+    names, key = [*docs.columns, "removed"], free_name(docs.columns, "row")
+    scratch = Scratch(spark, "lines-docs")
+    kept = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
+    found = _spans(kept.select(F.col(key).alias("row"), "doc_id", "text"), min_words, scratch).select(F.col("row").alias(key), "removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
@@ -126,189 +182,49 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = kept.join(found.select("row", "removed"), "row").select(*names)
-    return joined.mapInArrow(run, joined.schema)
-
-
-def _places(text: str | None):
-    """Starts and ends of the words, in code points, and their hashes."""
-    import numpy as np
-
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    spaced = raw.translate(ALNUM_LOWER)
-    inside = np.concatenate([[False], np.frombuffer(spaced, np.uint8) != 32, [False]])
-    borders = np.flatnonzero(inside[1:] != inside[:-1])
-    points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    return points[borders[::2]], points[borders[1::2]], hashes(spaced.split())
-
-
-def _runs(h, n: int):
-    """Hashes of all runs of n words, in order, by doubling."""
-    import numpy as np
-
-    out, length, total = None, 0, len(h) - n + 1
-    power, size = h, 1
-    while total > 0:
-        if n & size:
-            out = power if out is None else mixed(out[: len(power) - length] * np.uint64(0x9E3779B97F4A7C15) + power[length:])
-            length += size
-        if length == n:
-            return out
-        power = mixed(power[:-size] * np.uint64(0xC2B2AE3D27D4EB4F) + power[size:])
-        size *= 2
-    return h[:0]
-
-
-def _extreme(of, x, width: int):
-    """Least or greatest value of each window."""
-    size = 1
-    while 2 * size <= width:
-        x = of(x[:-size], x[size:])
-        size *= 2
-    return of(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
-
-
-def _chosen(h, words: int):
-    """Starts of the chosen short runs, and their hashes: one at least in every run of words."""
-    import numpy as np
-
-    short = min(_SHORT, words)
-    found = _runs(h, short) if len(h) >= words else h[:0]
-    if not len(found):
-        return np.zeros(0, np.int64), found
-    width = words - short + 1
-    # the least of each window; a run is chosen if it equals the greatest of these over the windows that it is in
-    least = _extreme(np.minimum, found, width)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(found == _extreme(np.maximum, np.concatenate([edge, least, edge]), width))
-    return at, found[at]
-
-
-def _choose(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # a run that one text holds twice counts twice
-            made = [_chosen(hashes(alnum_words(x.as_py())), words)[1].view("int64") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "short"])
-
-    return run
-
-
-def _near(words: int):
-    """Units around the short runs that occur twice: the places of their words, packed, and their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in batches:
-            places, units_ = [], []
-            for text, twice in zip(batch.column(2), batch.column(3)):
-                if not twice.is_valid:
-                    places.append(np.zeros(0, np.int64))
-                    units_.append(np.zeros(0, np.int64))
-                    continue
-                starts, ends, h = _places(text.as_py())
-                at, short = _chosen(h, words)
-                full = _runs(h, words)
-                reach = words - min(_SHORT, words)
-                marks = np.zeros(len(full) + len(h) + 1, np.int64)
-                hit = at[np.isin(short, twice.values.to_numpy().view(np.uint64))]
-                np.add.at(marks, np.maximum(hit - reach, 0), 1)
-                np.add.at(marks, hit + 1, -1)
-                own = np.flatnonzero(np.cumsum(marks)[: len(full)] > 0)
-                places.append(starts[own] << 32 | ends[own + words - 1])
-                units_.append(full[own].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int64())), pa.array(units_, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "places", "hashes"],
-            )
-
-    return run
-
-
-_REMOVED = "row long, removed array<struct<start:int,end:int,first_doc_id:bigint>>"
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of repeated units that overlap, as spans."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64())]))
-    for batch in batches:
-        out = []
-        for listed in batch.column(1).to_pylist():
-            own: list[dict] = []
-            for x in listed:
-                start, end = x["at"] >> 32, x["at"] & 0xFFFFFFFF
-                if own and start < own[-1]["end"]:
-                    own[-1]["end"] = max(end, own[-1]["end"])
-                else:
-                    own.append({"start": start, "end": end, "first_doc_id": x["first_doc_id"]})
-            out.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), *batch.columns[2:]], names=["row", "removed", *batch.schema.names[2:]])
-
-
-def passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
-    """row, doc_id and removed, an array of (start, end, first_doc_id) by start, for every row of docs."""
-    scratch = Scratch(docs.sparkSession, "passages")
-    return _passages(scratch.keep(_numbered(docs), "docs"), words, scratch)
-
-
-def repeats(docs: DataFrame, words: int = PASSAGE_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """As passages(), with repeated runs of lines too."""
-    scratch = Scratch(docs.sparkSession, "passages")
-    docs = scratch.keep(_numbered(docs), "docs")
-    packed = "transform(removed, x -> struct(shiftleft(CAST(x.start AS BIGINT), 32) | x.end AS at, x.first_doc_id AS first_doc_id))"
-    lines = scratch.keep(_spans(docs, min_words, line_runs).where("size(removed) > 0").select("row", F.expr(packed).alias("lines")), "lines")
-    found = _passages(docs, words, scratch).join(lines, "row", "left")
-    both = found.select("row", F.expr(f"array_sort(concat({packed}, coalesce(lines, array())))").alias("x"), "doc_id")
-    return both.mapInArrow(_joined, f"{_REMOVED}, doc_id long").select("row", "doc_id", "removed")
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-
-def _passages(docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """docs: row, doc_id, text, kept in scratch as docs, which is dropped."""
-    chosen = scratch.keep(docs.select("row", "text").mapInArrow(_choose(words), "row long, short array<long>"), "short").select("row", F.explode("short").alias("h"))
-    twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    hits = chosen.join(twice, "h").groupBy("row").agg(F.collect_set("h").alias("twice"))
-    hits = scratch.keep(hits, "twice")
-    near = docs.join(hits, "row", "left").select("row", "doc_id", "text", "twice").mapInArrow(_near(words), "row long, doc_id long, places array<long>, hashes array<long>")
-    near = scratch.keep(near, "near")
-    scratch.drop("docs", "short", "twice")
-    each = near.select("row", "doc_id", F.explode(F.arrays_zip("places", "hashes")).alias("u")).select("row", "doc_id", F.col("u.places").alias("at"), F.col("u.hashes").alias("h"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "at")
-    first = each.groupBy("h").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("h", F.struct("f.doc_id", "f.row", "f.at").alias("f"))
-    again = each.select("row", "at", "h").join(first, "h").where("row <> f.row OR at <> f.at").select("row", F.struct("at", F.col("f.doc_id").alias("first_doc_id")).alias("x"))
-    found = again.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x")).mapInArrow(_joined, _REMOVED)
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,first_doc_id:bigint>>)")
-    return near.select("row", "doc_id").join(found, "row", "left").select("row", "doc_id", F.coalesce("removed", none).alias("removed"))
-
-
-def op8_passage_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats(table(spark, sf_dir, "documents"))
-    return found.select(
-        "doc_id", F.size("removed").cast("long").alias("n_removed"),
-        F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("removed_chars"),
-        F.expr("array_join(transform(removed, x -> concat_ws(':', x.start, x.end, x.first_doc_id)), ',')").alias("removed"),
-    )
+    joined = kept.join(found, key).select(*names)
+    return joined.mapInArrow(lean(run), T.StructType(joined.schema.fields))
 
 
 def op8_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
+    passages = f"CAST(size(filter({{}}, x -> x.n_words >= {PASSAGE_WORDS})) AS BIGINT)"
     return found.select(
-        "doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"),
+        "doc_id", "n_units", "n_removed",
+        F.expr(passages.format("removed")).alias("n_passages"), F.expr(passages.format("shared")).alias("n_shared"),
         F.expr("aggregate(removed, 0L, (a, x) -> a + x.end - x.start)").alias("removed_chars"),
         F.expr("array_join(transform(removed, x -> concat_ws(':', x.start, x.end, x.first_doc_id)), ',')").alias("removed"),
     )
 
 
-ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-i AS (SELECT k, doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM d),
-o AS (SELECT k, doc_id, x, sum(length(x) + 1) OVER (PARTITION BY k ORDER BY i) - length(x) - 1 AS s FROM i),
-w AS (SELECT k, doc_id, s, s + length(x) AS e, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM o),
-u AS (SELECT k, s, e, row_number() OVER t AS r, first_value(doc_id) OVER t AS f FROM w WHERE len(w) >= {MIN_WORDS} WINDOW t AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k, s)),
-a AS (SELECT k, count(*) AS n_units, count(*) FILTER (r > 1) AS n_removed, sum(e - s) FILTER (r > 1) AS c, string_agg(concat_ws(':', CAST(s AS BIGINT), CAST(e AS BIGINT), f), ',' ORDER BY s) FILTER (r > 1) AS x FROM u GROUP BY k)
-SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS removed_chars, coalesce(x, '') AS removed FROM d LEFT JOIN a USING (k)
+def _oracle() -> str:
+    spaces = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(translate(coalesce(text, ''), chr(1), ' '), chr(10)) AS l FROM documents),
+i AS (SELECT k, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM d),
+o AS (SELECT k, x, sum(length(x) + 1) OVER (PARTITION BY k ORDER BY i) - length(x) - 1 AS s FROM i),
+p AS (SELECT k, s, string_split(regexp_replace(x, '([{MARKS}]+[ \x09\x0B-\x0D]+)', '\1' || chr(1), 'g'), chr(1)) AS c FROM o),
+q AS (SELECT k, s, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS x FROM p),
+r AS (SELECT k, x, s + sum(length(x)) OVER (PARTITION BY k, s ORDER BY i) - length(x) AS s FROM q),
+w AS (SELECT k, s, s + length(rtrim(x, {spaces})) AS e, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM r),
+g AS (SELECT k, s, e, array_to_string(w, ' ') AS t, row_number() OVER o AS g, sum(len(w)) OVER o AS b, sum(len(w)) OVER o - len(w) AS a FROM w WHERE len(w) > 0 WINDOW o AS (PARTITION BY k ORDER BY s)),
+z AS (SELECT k, list(s ORDER BY g) AS s, list(e ORDER BY g) AS e, list(t ORDER BY g) AS t, list(a ORDER BY g) AS a, list(b ORDER BY g) AS b FROM g GROUP BY k),
+v AS (SELECT DISTINCT k, i, j FROM (
+  SELECT k, i, i + len(list_filter(b[i:], lambda y: y - a[i] < {MIN_WORDS})) AS j, len(b) AS n FROM (SELECT k, a, b, unnest(range(1, len(b) + 1)) AS i FROM z)
+  UNION ALL SELECT k, len(list_filter(a, lambda y: b[len(b)] - y >= {MIN_WORDS})) AS i, len(b) AS j, len(b) AS n FROM z) WHERE j <= n AND i >= 1),
+u AS (SELECT k, doc_id, i, j, s[i] AS s, e[j] AS e, array_to_string(t[i:j], ' ') AS t FROM v JOIN z USING (k) JOIN d USING (k)),
+f AS (SELECT *, row_number() OVER o AS r, first_value(doc_id) OVER o AS f, min(k) OVER (PARTITION BY t) <> max(k) OVER (PARTITION BY t) AS shared FROM u WINDOW o AS (PARTITION BY t ORDER BY doc_id, k, s, e)),
+x AS (SELECT k, kind, i, j, f, CASE WHEN i > max(j) OVER (PARTITION BY k, kind ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new
+  FROM (SELECT k, 'goes' AS kind, i, j, f FROM f WHERE r > 1 UNION ALL SELECT k, 'shared', i, j, f FROM f WHERE shared)),
+y AS (SELECT *, sum(new) OVER (PARTITION BY k, kind ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS h FROM x),
+m AS (SELECT k, kind, min(i) AS i, max(j) AS j, arg_min(f, i * 1000000 + j) AS f FROM y GROUP BY k, kind, h),
+n AS (SELECT k, kind, s[i] AS s, e[j] AS e, b[j] - a[i] AS n, f FROM m JOIN z USING (k)),
+c AS (SELECT k, count(*) AS n_units, count(*) FILTER (r > 1) AS n_removed FROM f GROUP BY k),
+a AS (SELECT k, count(*) FILTER (kind = 'goes' AND n >= {PASSAGE_WORDS}) AS n_passages, count(*) FILTER (kind = 'shared' AND n >= {PASSAGE_WORDS}) AS n_shared, sum(e - s) FILTER (kind = 'goes') AS c,
+  string_agg(concat_ws(':', CAST(s AS BIGINT), CAST(e AS BIGINT), f), ',' ORDER BY s) FILTER (kind = 'goes') AS x FROM n GROUP BY k)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(n_passages, 0) AS n_passages, coalesce(n_shared, 0) AS n_shared,
+  CAST(coalesce(c, 0) AS BIGINT) AS removed_chars, coalesce(x, '') AS removed FROM d LEFT JOIN c USING (k) LEFT JOIN a USING (k)
 """
+
+
+ORACLE = _oracle()
