@@ -39,7 +39,7 @@ class Chunker:
 
     Lengths are sums over sentences, without the spaces that join them. One Arrow pass over the blocks: no exchange, so
     a block's cost is its own and blocks are as parallel as their files' partitions. As a fold in column functions the
-    same took over ten times the time, for the cut is decided sentence by sentence, from the chunk so far.
+    same took more than twice the time: a cut is decided sentence by sentence, from the chunk so far.
     """
 
     embedder: Embedder
