@@ -11,7 +11,8 @@ One scan, one shuffle: only hits and one row for each document leave the scan, d
 fixed in this file (some hundred pairs) and therefore broadcast.
 
 Defined results: a null text is empty: no words, no labels, score 0; repeated rows are judged by themselves; ties
-between diagonals change nothing, as labels are sets. Extra columns are ignored. An empty table gives no rows.
+between diagonals change nothing, as labels are sets. Very long texts are scanned whole, their words as rows that only
+leave the scan if they hit. Extra columns are ignored. An empty table gives no rows.
 lower() maps one character beyond ASCII to a letter of words here (the Kelvin sign to k); no base phrase has a k.
 """
 

@@ -10,7 +10,8 @@ Only the bins that move on are shuffled, with their pieces' numbers, never texts
 shared folder, so its numbering is fixed and a lost executor costs one task.
 
 Defined results: a null text is empty and gives one piece of one id, the separator; repeated rows are packed each by
-itself; ties in length are packed in the order read. An empty table gives no rows. Extra columns are ignored.
+itself; ties in length are packed in the order read. Very long texts are tokenised whole and cut into full pieces. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -35,3 +35,9 @@ def test_repeated_words_are_no_license(spark):
     texts = ["under the under the under the", "under the mit under the mit", "x under the mit license", "released under our the mit license", "by 4 0 by 4 0 by 4 0 under cc under cc"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.labels for r in ls.scan(df).orderBy("doc_id").collect()] == ["", "", "mit", "mit", ""]
+
+
+def test_long_texts_are_scanned_whole(spark):
+    text = "lorem ipsum " * 50_000 + "cc by " + "dolor " * 50_000 + "released under the MIT license"
+    (row,) = ls.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_words, row.n_base, row.first_word, row.labels) == (150_007, 1, 100_000, "cc-by,mit")
