@@ -16,21 +16,40 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows that a task works on at once.
 ROWS = 1_000
 
+#: What a worker remembers from task to task, by kind.
+memories: dict[str, dict] = {}
 
-def lean(run):
-    """run, over batches of at most ROWS rows; what a task has held goes back to the machine at its end, as workers outlive tasks."""
 
-    def small(batches):
-        yield from run(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
-        import ctypes
+def _give_back() -> None:
+    """Memory that isn't in use goes back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
 
-        import pyarrow as pa
+def _forget_but(kind: str | None) -> None:
+    """Forgets what a worker remembers of other kinds than this."""
+    others = [known for k, known in memories.items() if k != kind and known]
+    for known in others:
+        known.clear()
+    if others:
+        _give_back()
 
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+
+def lean(run, uses: str | None = "words"):
+    """run, over batches of at most ROWS rows; what a task has held goes back to the machine at its end, as workers outlive
+    tasks, and of what earlier tasks remember only the kind that this one uses stays."""
+
+    def small(batches):
+        _forget_but(uses)
+        yield from run(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+        _give_back()
 
     return small
 
@@ -61,7 +80,7 @@ class HashOf(dict):
 
 
 #: One for all operators of a worker, as workers are used again by later stages.
-_known = HashOf()
+_known = memories["words"] = HashOf()
 
 
 def hashes(words: list):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm._shared import Scratch, lean, table
+from candlewick.llm._shared import Scratch, lean, memories, table
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -129,6 +129,7 @@ class Encoder:
 
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c))
 _encoders: dict[str, Encoder] = {}
+memories["ids"] = _encoders
 
 
 def _encoder(path: str) -> Encoder:
@@ -238,7 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separat
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_first_round(tokenizer_path, capacity, separator)), BINS)
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_first_round(tokenizer_path, capacity, separator), "ids"), BINS)
     rounds = [scratch.keep(made, "round0")]
     groups = (rounds[0].agg(F.max("grp")).first()[0] or 0) + 1
     while True:

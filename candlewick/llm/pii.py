@@ -156,7 +156,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(x.as_py())] for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 
-    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("spans", SPANS)]))
+    return docs.mapInArrow(lean(run, None), T.StructType([*docs.schema.fields, T.StructField("spans", SPANS)]))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -180,7 +180,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
             columns[at] = pa.array([x and masked(x, spans_of(x)) for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return docs.mapInArrow(lean(run, None), docs.schema)
 
 
 def op4_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A text's features are the distinct 64-bit hashes of its words, word pairs and pairs that skip one or two words. The
 model is fitted on the driver, on at most SAMPLE_ROWS labelled rows (those with the least hash of the id); features that
-fewer than MIN_ROWS of these have are left out in Spark, and of what is left at most SAMPLE_FEATURES in all come to the
+fewer than MIN_ROWS of these have are left out in Spark, where they travel packed by ranges of their hashes and then by
+row, never as rows of their own; of what is left at most SAMPLE_FEATURES in all come to the
 driver: a row that would exceed them is passed over and later ones may still fit. Both bounds are parameters.
 Per-coordinate rates and L1 leave few weights, which go to the executors as two arrays: at most SAMPLE_FEATURES /
 MIN_ROWS entries of 12 bytes, in practice some hundred. Scoring is one pass without a shuffle.
@@ -32,6 +33,8 @@ SAMPLE_ROWS = 6_000
 #: Of 8 bytes each; the driver holds them about three times while it fits.
 SAMPLE_FEATURES = 12_000_000
 MIN_ROWS = 5
+#: Features that are counted at once, about, and that a task packs at once.
+COUNTED, PACKED_AT_ONCE = 50_000, 200_000
 #: A fold of five that no model sees.
 HELD_OUT = "coalesce(crc32(CAST({} AS STRING)) % 5 = 0, false)"
 
@@ -97,6 +100,68 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), batch.column(1), batch.column(2)], names=["features", "y", "rank"])
 
 
+_PACKED = "at long, ranks binary, found binary"
+
+
+def _packed(to: np.ndarray, ranks: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """A row for each place in to, with the features that go there and the ranks of their rows."""
+    order = np.argsort(to, kind="stable")
+    to, ranks, found = to[order], ranks[order], found[order]
+    cuts = np.flatnonzero(np.concatenate([np.ones(min(len(to), 1), bool), to[1:] != to[:-1]]))
+    spans = list(zip(cuts, [*cuts[1:], len(to)]))
+    columns = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (ranks, found)]
+    return pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int64)), *columns], names=["at", "ranks", "found"])
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ranks, found = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("ranks", np.int64), ("found", np.uint64)))
+    return ranks, found
+
+
+def _ranged(bits: int):
+    """Of rank and features: the features by 2 ** bits ranges of their hashes."""
+
+    def made(ranks: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(found)
+        return _packed(flat >> np.uint64(64 - bits), np.repeat(np.array(ranks, np.int64), [len(x) for x in found]), flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks, found, size = [], [], 0
+            for rank, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ranks.append(rank)
+                found.append(x.values.to_numpy().view(np.uint64))
+                size += len(found[-1])
+                if size > PACKED_AT_ONCE:
+                    yield made(ranks, found)
+                    ranks, found, size = [], [], 0
+            if size:
+                yield made(ranks, found)
+
+    return run
+
+
+def _common(bits: int):
+    """Of a range of hashes: the features that MIN_ROWS rows have, by 2 ** bits lots of rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ranks, found = _unpacked(rows)
+        _, at, n = np.unique(found, return_inverse=True, return_counts=True)
+        kept = n[at] >= MIN_ROWS
+        return pa.Table.from_batches([_packed(ranks[kept].view(np.uint64) & np.uint64(2**bits - 1), ranks[kept], found[kept])])
+
+    return run
+
+
+def _by_rank(rows: pa.Table) -> pa.Table:
+    """Of a lot of rows: the number of each one's features, and these in order."""
+    ranks, found = _unpacked(rows)
+    order = np.lexsort((found, ranks))
+    made = _packed(ranks[order], ranks[order], found[order])
+    sizes = pa.array([len(x) // 8 for x in made.column("found").to_pylist()], pa.int32())
+    return pa.table([made.column("at"), sizes, made.column("found")], names=["rank", "n", "features"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
     """Fits to labelled rows outside the held-out fold. docs: doc_id, text; labels: doc_id and label."""
     usable = labels.where(F.expr(f"doc_id IS NOT NULL AND {label} IS NOT NULL AND NOT ({HELD_OUT.format('doc_id')})"))
@@ -106,12 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     scratch = Scratch(docs.sparkSession, "toxicity")
     kept = scratch.keep(found, "sample")
     # features that few rows have are left out before anything comes to the driver
-    each = kept.select("rank", F.explode("features").alias("f"))
-    shared = each.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("f")
-    made = scratch.keep(each.join(shared, "f").groupBy("rank").agg(F.array_sort(F.collect_list("f")).alias("features")), "shared")
+    bits = max(8, ((kept.agg(F.sum(F.size("features"))).first()[0] or 0) // COUNTED).bit_length())
+    ranged = kept.select("rank", "features").mapInArrow(lean(_ranged(bits)), _PACKED)
+    shared = ranged.groupBy("at").applyInArrow(_common(bits), _PACKED)
+    made = scratch.keep(shared.groupBy("at").applyInArrow(_by_rank, "rank long, n int, features binary"), "shared")
     # numbers of at most sample_rows rows, then the rows that fit, the least ranks first
     of, size = {}, 0
-    for rank, y, n in sorted(kept.select("rank", "y").join(made.select("rank", F.size("features").alias("n")), "rank", "left").fillna(0, ["n"]).collect()):
+    for rank, y, n in sorted(kept.select("rank", "y").join(made.select("rank", "n"), "rank", "left").fillna(0, ["n"]).collect()):
         if size + n <= sample_features:
             size += n
             of[rank] = y, np.zeros(0, np.uint64)
@@ -120,9 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
         scratch.drop("sample", "shared")
         return Model(np.zeros(0, np.uint64), np.zeros(0), math.log(max(share, 1e-4) / max(1 - share, 1e-4)))
     fitting = docs.sparkSession.createDataFrame([(x,) for x in of], "rank long")
-    rows = made.join(F.broadcast(fitting), "rank").toArrow()
+    rows = made.join(F.broadcast(fitting), "rank").select("rank", "features").toArrow()
     for rank, x in zip(rows.column("rank").to_pylist(), rows.column("features")):
-        of[rank] = of[rank][0], np.sort(x.values.to_numpy().view(np.uint64))
+        of[rank] = of[rank][0], np.frombuffer(x.as_buffer(), np.uint64)
     scratch.drop("sample", "shared")
     return fit([(x, y) for y, x in of.values()])
 

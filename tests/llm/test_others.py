@@ -273,3 +273,43 @@ def test_toxicity_sample_has_six_thousand_rows(spark, monkeypatch):
     docs = spark.range(9000).selectExpr("id AS doc_id", "'w' AS text")
     toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"))
     assert seen == [6000]
+
+
+def test_features_that_come_to_the_driver_by_brute_force(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    random.seed(4)
+    docs = [(k, " ".join(f"w{random.randint(0, 400)}" for _ in range(random.choice([0, 3, 60])))) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    seen, plans = [], []
+    keep = toxicity.Scratch.keep
+    monkeypatch.setattr(toxicity, "fit", seen.extend)
+    monkeypatch.setattr(toxicity, "PACKED_AT_ONCE", 500)
+    monkeypatch.setattr(toxicity.Scratch, "keep", lambda self, made, name: plans.append(made._jdf.queryExecution().toString()) or keep(self, made, name))
+    toxicity.train(df, df.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic"))
+    found = [toxicity.features(t) for k, t in docs if zlib.crc32(str(k).encode()) % 5]
+    n = Counter(int(f) for x in found for f in x)
+    expected = sorted([int(f) for f in x if n[int(f)] >= toxicity.MIN_ROWS] for x in found)
+    assert sorted(x.tolist() for x, _ in seen) == expected and all(x.dtype == np.uint64 for x, _ in seen)
+    # a feature is never a row of its own
+    assert len(plans) == 2 and not any("Generate" in p for p in plans)
+
+
+def test_a_worker_forgets_what_other_operators_remember(vocabulary):
+    import pyarrow as pa
+
+    from candlewick.llm import _shared
+
+    texts = [pa.RecordBatch.from_pydict({"text": ["one two", "three"]})]
+    of_words = _shared.lean(lambda batches: (_shared.hashes(_shared.alnum_words(x.as_py())) for b in batches for x in b.column(0)))
+    of_ids = _shared.lean(lambda batches: (packing._encoder(vocabulary).ids(x.as_py()) for b in batches for x in b.column(0)), "ids")
+    of_none = _shared.lean(lambda batches: (b.num_rows for b in batches), None)
+    assert len(list(of_words(texts))) == 2 and {b"one", b"two", b"three"} <= set(_shared._known)
+    assert len(list(of_ids(texts))) == 2 and not _shared._known and set(packing._encoders) == {vocabulary}
+    kept = packing._encoders[vocabulary]
+    assert len(list(of_ids(texts))) == 2 and packing._encoders[vocabulary] is kept
+    assert len(list(of_words(texts))) == 2 and not packing._encoders and _shared._known
+    assert list(of_none(texts)) == [2] and not _shared._known
