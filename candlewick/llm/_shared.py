@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from candlewick.memory import give_back
 from candlewick.storage import Scratch, free_name, scratch_root
 from candlewick.tables import table
 
@@ -20,26 +21,13 @@ ROWS = 1_000
 memories: dict[str, dict] = {}
 
 
-def _give_back() -> None:
-    """Memory that isn't in use goes back to the machine."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
 def _forget_but(kind: str | None) -> None:
     """Forgets what a worker remembers of other kinds than this."""
     others = [known for k, known in memories.items() if k != kind and known]
     for known in others:
         known.clear()
     if others:
-        _give_back()
+        give_back()
 
 
 def lean(run, uses: str | None = "words"):
@@ -49,7 +37,7 @@ def lean(run, uses: str | None = "words"):
     def small(batches):
         _forget_but(uses)
         yield from run(b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
-        _give_back()
+        give_back()
 
     return small
 

@@ -7,17 +7,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.functions.text import is_blank, split_sentences
 from candlewick.functions.vectors import Embedder, dot, percentile
+from candlewick.memory import give_back
 from candlewick.storage import Scratch, free_name
 
-#: Sentences that are embedded at once, and blocks that a task works on at once.
+#: Sentences that are embedded at once; bytes of text that a task works on at once (a longer block alone), and chunks
+#: that it passes on at once.
 SENTENCES = 4096
-BLOCKS = 1000
+BYTES = 1 << 20
+CHUNKS = 1000
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with at most BYTES of text in column at, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False), dtype="int64")
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + BYTES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def similarities(vectors: Column) -> Column:
@@ -91,6 +106,17 @@ class Chunker:
                 at += len(p)
         return out
 
+    def _rows(self, batch: pa.RecordBatch, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk of the texts in column at. A whole text is never repeated for its chunks."""
+        found = self.texts(batch.column(at).to_pylist())
+        sizes = [len(x) for x in found]
+        rows, places = np.repeat(np.arange(len(found)), sizes), np.concatenate([np.arange(n) for n in sizes])
+        flat = [x for chunks in found for x in chunks]
+        for k in range(0, len(flat), CHUNKS):
+            own, part = pa.array(rows[k : k + CHUNKS]), pa.array(flat[k : k + CHUNKS], pa.string())
+            columns = [part if j == at else c.take(own) for j, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(places[k : k + CHUNKS], pa.int32())], names=names)
+
     def chunk(self, blocks: DataFrame, text: str = "text") -> DataFrame:
         """A row for each chunk of blocks: its columns, with the chunk for text, and chunk_pos (from 0 in its block)."""
         kept = blocks.where(~is_blank(F.col(text)))
@@ -99,13 +125,9 @@ class Chunker:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for k in range(0, whole.num_rows, BLOCKS):
-                    batch = whole.slice(k, BLOCKS)
-                    found = self.texts(batch.column(at).to_pylist())
-                    rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                    columns = [c.take(rows) for c in batch.columns]
-                    columns[at] = pa.array([x for chunks in found for x in chunks], pa.string())
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([i for chunks in found for i in range(len(chunks))], pa.int32())], names=names)
+                for batch in slices(whole, at):
+                    yield from self._rows(batch, at, names)
+            give_back()  # workers outlive tasks
 
         return kept.mapInArrow(run, T.StructType([*fields, T.StructField("chunk_pos", T.IntegerType())]))
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,34 @@ def test_long_blocks_are_embedded_in_parts(spark, monkeypatch):
     assert Chunker(EMBEDDER, 20, 200).texts(texts) == whole and [len(x) for x in whole][1] == 1
 
 
+def arrow_pass(spark, monkeypatch, chunker):
+    """What chunk() gives to mapInArrow()."""
+    df, got = blocks(spark, ["a"]).select("block_pos", "text"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: got.append(run))
+    chunker.chunk(df)
+    return got[0]
+
+
+def most_allocated(run, batches):
+    """The rows of run over batches, and the most bytes that Arrow held for them."""
+    own = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(own)
+    pa.set_memory_pool(pool)
+    try:
+        rows = [row for b in run(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns))]
+    finally:
+        pa.set_memory_pool(own)
+    return rows, pool.max_memory()
+
+
+def test_a_long_text_is_not_repeated_for_its_chunks(spark, monkeypatch):
+    text = " ".join(f"Force {k:06d} moves a mass for longer yet." for k in range(1_000))
+    batch = pa.record_batch([pa.array([7, 8], pa.int32()), pa.array([text, "The cell."])], names=["block_pos", "text"])
+    rows, most = most_allocated(arrow_pass(spark, monkeypatch, Chunker(EMBEDDER, 10, 20)), [batch])
+    assert rows == [*((7, x, k) for k, x in enumerate(split_sentences(text))), (8, "The cell.", 0)]
+    assert most < 10 * len(text)  # with a copy of the text for each of its chunks 1,000 times that
+
+
 CHUNKS = "text string, source_file string, heading string, page_number int, chunk_id long"
 SAMPLE = [("Newton: force, mass, motion.", "p.pdf", "Laws", 3, 0), ("Entropy, heat, temperature.", "p.pdf", "", None, 1), ("The cell of an organism. It lives.", "b.docx", "", None, 2)]
 
