@@ -185,6 +185,17 @@ def test_a_long_text_is_not_repeated_for_its_chunks(spark, monkeypatch):
     assert most < 10 * len(text)  # with a copy of the text for each of its chunks 1,000 times that
 
 
+def test_chunking_holds_no_more_for_more_blocks(spark, monkeypatch):
+    text = " ".join(f"Force {k:03d} moves a mass. Heat isn't a cell." for k in range(400))
+    run, most = arrow_pass(spark, monkeypatch, Chunker(EMBEDDER)), {}
+    for n in (200, 800):
+        batch = pa.record_batch([pa.array(range(n), pa.int32()), pa.array([text] * n)], names=["block_pos", "text"])
+        rows, most[n] = most_allocated(run, [batch])
+        expected = Chunker(EMBEDDER).texts([text])[0]
+        assert rows == [(k, x, i) for k in range(n) for i, x in enumerate(expected)]
+    assert most[800] < 1.5 * most[200] and most[800] < 5_000_000  # 800 texts have 14 MB
+
+
 CHUNKS = "text string, source_file string, heading string, page_number int, chunk_id long"
 SAMPLE = [("Newton: force, mass, motion.", "p.pdf", "Laws", 3, 0), ("Entropy, heat, temperature.", "p.pdf", "", None, 1), ("The cell of an organism. It lives.", "b.docx", "", None, 2)]
 
